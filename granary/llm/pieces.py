@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import blocks
+from .hashing import MIX, KeyTable, Numbers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 #: An id above this is a character that the vocabulary spells in bytes.
 _SPELLED = 1 << 21
@@ -44,7 +44,7 @@ def load_vocabulary(path: str) -> tuple[list[str], list[int]]:
 def uniform(keys: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) that depend on key and position only."""
     with np.errstate(over="ignore"):
-        z = keys + (positions.astype(np.uint64) + np.uint64(1)) * _MIX
+        z = keys + (positions.astype(np.uint64) + np.uint64(1)) * MIX
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -55,14 +55,6 @@ def row_key(seed: int, key: object) -> int:
     return xxhash.xxh64_intdigest(b"\x00" if key is None else str(key).encode(), seed)
 
 
-class _Numbers(dict):
-    """Numbers keys as they come."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class _Filtered(NamedTuple):
     """Units' places and lengths, their last nodes, and the edges by the node where they end."""
 
@@ -84,16 +76,8 @@ class Lattice:
         self.bytes = [bytes([int(p[3:5], 16)]) if k == 1 else b"" if k == 2 else p.replace("▁", " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         usable = [(p.replace("▁", " "), i) for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 0]
         self.longest = max(len(p) for p, _ in usable)
-        bits = max(8, (4 * len(usable)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.ids = np.full(1 << bits, -1, np.int32)
-        for p, i in usable:
-            h = self._hash(p)
-            at = int(self._place(h))
-            while self.ids[at] >= 0:
-                at = (at + 1) & ((1 << bits) - 1)
-            self.keys[at], self.ids[at] = h, i
+        self.table = KeyTable(np.array([self._hash(p) for p, _ in usable], np.uint64))
+        self.ids = np.array([i for _, i in usable] + [-1], np.int32)
         rank = np.arange(len(pieces)) - len(self.byte_id) - 3
         self.weight = np.append(np.maximum(rank, 0) + 2.0, len(pieces) + 2.0) ** -alpha  # the last is for spelled characters
 
@@ -105,23 +89,6 @@ class Lattice:
             h, power = (h + (ord(c) + 1) * power) % 2**64, power * int(_BASE) % 2**64
         return np.uint64(h)
 
-    def _place(self, h):
-        with np.errstate(over="ignore"):
-            return ((h ^ (h >> np.uint64(29))) * _MIX) >> self.shift
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 for none."""
-        at = self._place(h).astype(np.int64)
-        out = np.full(len(h), -1, np.int32)
-        left = np.arange(len(h))
-        while len(left):
-            ids = self.ids[at]
-            hit = (self.keys[at] == h[left]) & (ids >= 0)
-            out[left[hit]] = ids[hit]
-            go = ~hit & (ids >= 0)
-            left, at = left[go], (at[go] + 1) & (len(self.ids) - 1)
-        return out
-
     def filtered(self, units: list[str]) -> _Filtered:
         """Forward filtering of all units at once.
 
@@ -149,7 +116,7 @@ class Lattice:
             with np.errstate(over="ignore"):
                 h = h + (before.astype(np.uint64) + np.uint64(1)) * power
                 power = power * _BASE
-            ids = self.find(h)
+            ids = self.ids[self.table.find(h)]
             if n == 1:
                 none = (ids < 0) | (before == 0x2581)
                 ids[none] = [self.byte_id[c] if c < 128 and c in self.byte_id else _SPELLED + c for c in before[none].tolist()]
@@ -188,7 +155,7 @@ class Lattice:
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Sampled ids of each text. A space is put before a text that is not empty, as the vocabulary expects."""
-        known = _Numbers()
+        known = Numbers()
         numbers: list[int] = []
         counts = []
         for t in texts:
