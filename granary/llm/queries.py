@@ -13,6 +13,7 @@ from .langid import language_id
 from .markup import extract_text
 from .pieces import decode_pieces, encode_pieces
 from .ppm import score_texts
+from .quality import quality
 from .ring import assign_shards
 from .secrets import BASE, RULES, Rule, scan_secrets
 from .simhash import near_duplicates
@@ -70,6 +71,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, rules and the verdict for every document; the documents labelled good are the trusted target."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash fingerprint and near-duplicate component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -121,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_sharding": op7_sharding,
