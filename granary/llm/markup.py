@@ -22,7 +22,7 @@ DEPTH = 120
 WIDEST = 80
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)
     |<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""",
     re.S | re.X,
 )
@@ -76,7 +76,10 @@ def parse(html: str) -> Node:
     def close(tags: set[str] | frozenset[str], scope: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                if stack[i].tag in BLOCK or not any(n.tag in BLOCK for n in stack[i:]):
+                    del stack[i:]
+                else:  # the end of an inline element ends no block inside it
+                    del stack[i]
                 return
             if stack[i].tag in scope:
                 return
@@ -306,7 +309,7 @@ def _plain(node: Node) -> str:
 
 def render(html: str | None) -> str | None:
     """The visible text of a page as it is laid out; null for null."""
-    return None if html is None else "\n".join(_lines(parse(html)))
+    return None if html is None else "\n".join(_lines(parse(html))).strip("\n")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ runs for every occurrence. The random number of a step depends only on the seed,
 position in the text, so a row's segmentation never depends on its neighbours or its partition.
 
 The vocabulary ranks its pieces instead of giving probabilities; a piece of rank r gets the weight
-``(r + 2) ** -alpha``. A large ``alpha`` approaches the best segmentation, 0 is uniform over paths.
+``(r + 2) ** -alpha``. A large ``alpha`` (4 at most) approaches the best segmentation, 0 is uniform over paths.
 """
 
 from __future__ import annotations
@@ -72,6 +72,8 @@ class Lattice:
     """The vocabulary as a hash table of its pieces, and the sampler."""
 
     def __init__(self, pieces: list[str], kinds: list[int], alpha: float):
+        if not 0 <= alpha <= 4:
+            raise ValueError("alpha is from 0 to 4")
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 1}
         self.bytes = [bytes([int(p[3:5], 16)]) if k == 1 else b"" if k == 2 else p.replace("▁", " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         usable = [(p.replace("▁", " "), i) for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 0]
@@ -144,7 +146,7 @@ class Lattice:
             now = np.add.reduceat(part, start[a:b] - e)
             share[e:f] = part / np.repeat(now, degree[a:b])
             total[a:b] = now
-            if (far := np.flatnonzero((now < 1e-200) | (now > 1e200))).size:
+            if (far := np.flatnonzero((now < 1e-100) | (now > 1e100))).size:
                 for k in range(min(p, self.longest)):
                     total[base[p - k] + far] /= now[far]
         share = np.cumsum(share) - (np.arange(nodes) - there[0])[owner]

@@ -177,7 +177,8 @@ def score_texts(
     words = counts.where("kind = 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = _least_count(words, head_words)
-    head = words.where(F.col("n") >= least).select("key", "n").toArrow()
+    end_key = int(np.uint64(_END).view(np.int64))  # the end is no word of a text, so it is never looked up in the join
+    head = words.where((F.col("n") >= least) | (F.col("key") == end_key)).select("key", "n").toArrow()
     shared = spark.sparkContext.broadcast((fit_trie(counts, order, share), np.asarray(head.column(0).combine_chunks()).view(np.uint64), np.asarray(head.column(1).combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
