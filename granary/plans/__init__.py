@@ -1,3 +1,3 @@
 """The registered queries, bound to the test tables. Importing this registers them all."""
 
-from . import ledger, text  # noqa: F401
+from . import ledger, store, text  # noqa: F401
