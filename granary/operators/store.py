@@ -107,9 +107,9 @@ def hard_filtered(rows: DataFrame, key: str = "char") -> DataFrame:
     return rows.join(char_stats(rows, key), key).withColumn("reason", hard_reason())
 
 
-def weighted_score(parts: dict[str, Column], neutral: float = 0.7) -> Column:
+def weighted_score(parts: dict[str, Column], neutral: float = 0.7, digits: int = 2) -> Column:
     """0 to 100 from components of 0 to 1; a component without a population counts as ``neutral``."""
-    return F.round(100 * sum((F.lit(w) * F.when(parts[k].isNull(), neutral).otherwise(F.least(F.greatest(parts[k], F.lit(0.0)), F.lit(1.0))) for k, w in WEIGHTS.items()), F.lit(0.0)), 2)
+    return F.round(100 * sum((F.lit(w) * F.when(parts[k].isNull(), neutral).otherwise(F.least(F.greatest(parts[k], F.lit(0.0)), F.lit(1.0))) for k, w in WEIGHTS.items()), F.lit(0.0)), digits)
 
 
 def census(rows: DataFrame, key: str = "char") -> DataFrame:

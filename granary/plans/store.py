@@ -195,11 +195,11 @@ def _hard(spark, sf_dir):
     return store.hard_filtered(measures(spark, sf_dir)).select("id", "reason")
 
 
-@query("quality_score", f"""SELECT id, round(round(100 * (0.30::DOUBLE * least(greatest(1 - edge, 0), 1) + 0.20::DOUBLE * least(greatest(ink, 0), 1) + 0.20::DOUBLE * 0.7 + 0.15::DOUBLE * least(area / 1000.0::DOUBLE, 1) + 0.15::DOUBLE * least(1.0::DOUBLE / parts, 1)), 2), 1) AS score FROM {_MEASURES}""")
+@query("quality_score", f"""SELECT id, round(100 * (0.30::DOUBLE * least(greatest(1 - edge, 0), 1) + 0.20::DOUBLE * least(greatest(ink, 0), 1) + 0.20::DOUBLE * 0.7 + 0.15::DOUBLE * least(area / 1000.0::DOUBLE, 1) + 0.15::DOUBLE * least(1.0::DOUBLE / parts, 1)), 0) AS score FROM {_MEASURES}""")
 def _quality(spark, sf_dir):
     c = F.col
     parts = {"alignment": 1 - c("edge"), "binarisation": c("ink"), "stroke": F.lit(None).cast("double"), "size": c("area") / 1000.0, "similarity": 1.0 / c("parts")}
-    return measures(spark, sf_dir).select("id", F.round(store.weighted_score(parts), 1).alias("score"))
+    return measures(spark, sf_dir).select("id", store.weighted_score(parts, digits=0).alias("score"))
 
 
 @query("census", f"SELECT char, count(*) AS n, min(area) AS min_area, median(area)::DOUBLE AS med_area, max(area) AS max_area, count(*) < 10 AS deficit FROM {_MEASURES} GROUP BY char")
