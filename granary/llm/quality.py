@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, materialise
 
 BUCKETS = 1 << 16
 #: Occurrences added to a feature in the target, and in proportion in the corpus, so that rare features say little.
@@ -29,12 +29,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def features(words: Column) -> Column:
-    """Buckets of the words and of the pairs of neighbours."""
-    n = F.size(words)
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    two = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(F.xxhash64(F.slice(words, i, 2)), F.lit(BUCKETS)).cast("int")))
-    return F.concat(one, F.coalesce(two, F.array().cast("array<int>")))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def buckets(rows: DataFrame, hashes: str, *kept: str) -> DataFrame:
+    """A row for each word of a text: its bucket ``one``, and ``two`` of it and its neighbour (null for the last). A text without words has a row of nulls."""
+    each = rows.select(*kept, hashes, F.posexplode_outer(hashes).alias("_i", "_word"))
+    after = F.get(F.col(hashes), F.col("_i") + 1)
+    into = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return each.select(*kept, into(F.col("_word")).alias("one"), F.when(after.isNotNull(), into(F.xxhash64("_word", after))).alias("two"))
 
 
 def with_trust(docs: DataFrame, trusted: DataFrame, id_col: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -48,9 +52,9 @@ def with_trust(docs: DataFrame, trusted: DataFrame, id_col: str, broadcast_ids:
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(bucket, ratio) for every bucket that occurs: log of its share in the target over its share in the corpus, with ``PRIOR``."""
     rows = with_trust(docs.select(docs[id_col], docs[text_col]), trusted, id_col, broadcast_ids)
-    rows = rows.withColumn("_w", words_of(F.col(text_col)))
-    each = rows.select("_target", F.explode_outer(features(F.col("_w"))).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target")).where("bucket IS NOT NULL")
+    rows = rows.withColumn("_x", hashed(words_of(F.col(text_col))))
+    each = buckets(rows, "_x", "_target").select("_target", F.explode(F.array("one", "two")).alias("bucket"))
+    counts = each.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"))
     raw, target = totals.first()
     ratio = F.log((F.col("target") + PRIOR) / (F.col("raw") * (target / max(raw, 1)) + PRIOR))
@@ -77,23 +81,28 @@ def quality(
     Repeated rows stay; windows are compared by 64-bit hash. Only the two columns are read.
     """
     target = trusted.select(trusted[0].alias("_id"))
-    table = F.broadcast(ratios(docs, target, id_col, text_col, broadcast_ids))  # BUCKETS rows at most
+    table = F.broadcast(materialise(ratios(docs, target, id_col, text_col, broadcast_ids)))  # BUCKETS rows at most
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[id_col].alias("_doc"), F.coalesce(docs[text_col], F.lit("")).alias("_t"))
     rows = rows.withColumn("_w", words_of(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = F.when(F.size("_w") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<long>"))
-    rows = rows.select("_row", "_doc", "_t", "_w", lines.alias("_lines"), windows.alias("_h"))
+    rows = rows.select("_row", "_doc", "_t", "_w", lines.alias("_lines"), hashed(F.col("_w")).alias("_x"))
+    windows = F.when(F.size("_x") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("_x") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_x", i, WINDOW)))).otherwise(F.array().cast("array<long>"))
+    rows = rows.select("_row", "_doc", "_t", "_w", "_lines", "_x", windows.alias("_h"))
     ranked = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    rows = rows.select("_row", "_doc", "_t", "_w", "_lines", "_h", ranked.alias("_ranked"))
+    rows = rows.select("_row", "_doc", "_t", "_w", "_lines", "_x", ranked.alias("_ranked"))
     rows = rows.select(
         "_row", "_doc", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_ranked")).alias("n_repeat_words"), features(F.col("_w")).alias("_f"),
+        repeated_words(F.col("_ranked")).alias("n_repeat_words"), "_x",
     )
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    each = rows.select("_row", "_doc", *base, F.explode_outer("_f").alias("bucket")).join(table, "bucket", "left")
-    # A document's features are all in one task, so this sums them before anything is shuffled.
-    scored = each.groupBy("_row", "_doc", *base).agg((F.coalesce(F.sum("ratio"), F.lit(0.0)) / F.greatest(F.count("bucket"), F.lit(1))).alias("score"))
+    each = buckets(rows, "_x", "_row", "_doc", *base)
+    for place in ("one", "two"):
+        each = each.join(table.select(F.col("bucket").alias(place), F.col("ratio").alias(f"ratio_{place}")), place, "left")
+    # A document's words are all in one task, so this sums them before anything is shuffled.
+    ratio = F.coalesce("ratio_one", F.lit(0.0)) + F.coalesce("ratio_two", F.lit(0.0))
+    n = F.greatest(F.count("one") + F.count("two"), F.lit(1))
+    scored = each.groupBy("_row", "_doc", *base).agg((F.sum(ratio) / n).alias("score"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     return scored.select(F.col("_doc").alias(id_col), *base, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))

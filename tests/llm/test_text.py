@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -212,15 +213,18 @@ def test_quality_counts_and_verdicts(spark):
 def brute_scores(rows, trusted):
     import xxhash
 
-    def chain(words):
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    one = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+
+    def pair(a, b):
         seed = 42
-        for w in words:
-            seed = xxhash.xxh64_intdigest(w.encode(), seed)
-        return (seed - (1 << 64) if seed >> 63 else seed) % quality.BUCKETS
+        for h in (a, b):
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+        return signed(seed)
 
     def feats(text):
-        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
-        return [chain([x]) for x in w] + [chain(w[i : i + 2]) for i in range(len(w) - 1)]
+        h = [one(x) for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+        return [x % quality.BUCKETS for x in [*h, *map(pair, h, h[1:])]]
 
     raw, target = Counter(), Counter()
     for i, t in rows:
