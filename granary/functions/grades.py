@@ -38,10 +38,10 @@ def is_verified(consensus: Column, predicted: Column, expected: Column) -> Colum
 
 
 def final_quality(base: Column, agreement: Column, confidence: Column) -> Column:
-    """The base with agreement and a confidence boost; a base below Silver cannot reach Gold."""
-    boost = F.least(F.greatest(1 + 0.3 * (F.coalesce(confidence, F.lit(0.5)) - 0.5), F.lit(0.85)), F.lit(1.10))
-    value = F.least(base * (0.7 + 0.3 * agreement) * boost, F.lit(1.0))
-    return F.when(base < SILVER, F.least(value, F.lit(GOLD - 0.001))).otherwise(value)
+    """The base with agreement and, if there is a confidence, a bounded boost; a base below Silver cannot reach Gold."""
+    boost = F.when(confidence.isNull(), 1.0).otherwise(F.least(F.greatest(1 + 0.3 * (confidence - 0.5), F.lit(0.85)), F.lit(1.10)))
+    value = base * (0.7 + 0.3 * agreement) * boost
+    return F.least(F.greatest(F.when(base < SILVER, F.least(value, F.lit(GOLD - 1e-6))).otherwise(value), F.lit(0.0)), F.lit(1.0))
 
 
 def needs_review(confidence: Column, tier_name: Column) -> Column:
@@ -60,9 +60,17 @@ def threshold(key: Column, loose: bool = False) -> Column:
     return out
 
 
+# Widths of characters, in the order they are looked up.
+WIDTHS = ((".,;:!¡|`'\"", 0.28), ("iltI1íì", 0.40), ("jr", 0.50), ("fFtT", 0.60), ("scCeéèêëS", 0.63), ("nuvbpkxyzñhúùü", 0.72), ("adgqáàâ", 0.80), ("oóòôöO", 0.85), ("mwMW", 1.30))
+WIDTH_UPPER, WIDTH_DIGIT, WIDTH_OTHER = 0.92, 0.73, 0.78
+
+
 def width_factor(key: Column, learned: Column) -> Column:
-    """The learned width of a character, else one by its class."""
-    return F.coalesce(learned, F.when(F.instr(F.lit(THIN), key) > 0, 0.5).when(F.instr(F.lit(WIDE), key) > 0, 1.4).when(key.rlike(r"^\p{Lu}$"), 1.2).when(key_class(key) == "punctuation", 0.4).otherwise(1.0))
+    """The learned width of a character, else that of its class."""
+    out = F.when(key.rlike(r"^\p{Lu}$"), WIDTH_UPPER).when(key.rlike(r"^\p{Nd}$"), WIDTH_DIGIT).otherwise(WIDTH_OTHER)
+    for chars, width in reversed(WIDTHS):
+        out = F.when(F.instr(F.lit(chars), key) > 0, width).otherwise(out)
+    return F.coalesce(learned, out)
 
 
 def confidence_flags(confidence: Column, aspect: Column, ink: Column, components: Column) -> Column:

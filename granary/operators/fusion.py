@@ -32,7 +32,7 @@ def overlapping(left: DataFrame, right: DataFrame, least: float, side: int = 64)
 
 
 def fuse_greedy(boxes: DataFrame, least: float, quorum: bool = False) -> DataFrame:
-    """Boxes of an image (detector, ord, x, y, w, h) fused one after the other: a box joins the first group whose
+    """Boxes of an image (detector, ord, x, y, w, h) fused one after the other by detector and order: a box joins the first group whose
     box it overlaps by ``least``, which grows to hold it. With ``quorum``, groups need half of the detectors.
 
     The order decides, so one image is one task's work; images spread over the cluster.
@@ -41,7 +41,7 @@ def fuse_greedy(boxes: DataFrame, least: float, quorum: bool = False) -> DataFra
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[list] = []
-        for row in pdf.sort_values(["y", "x", "detector", "ord"]).itertuples():
+        for row in pdf.sort_values(["detector", "ord"]).itertuples():
             x0, y0, x1, y1 = row.x, row.y, row.x + row.w, row.y + row.h
             for g in groups:
                 wide, high = min(x1, g[2]) - max(x0, g[0]), min(y1, g[3]) - max(y0, g[1])
@@ -114,12 +114,12 @@ def zip_expected(boxes: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def vote(predictions: DataFrame, strategy: str = "majority") -> DataFrame:
-    """(item_id, char, conf, consensus) from rows (item_id, ord, char, conf); blank characters count as "?".
+    """(item_id, char, conf, consensus) from rows (item_id, ord, char, conf); empty characters count as "?".
 
     majority: most votes, of equals the better mean, then the first seen; consensus from half the votes up.
     highest: the most confident vote. consensus: the common answer with its mean, else "?" with half of it.
     """
-    rows = predictions.withColumn("char", F.when(F.trim(F.coalesce("char", F.lit(""))) == "", "?").otherwise(F.col("char")))
+    rows = predictions.withColumn("char", F.when(F.coalesce("char", F.lit("")) == "", "?").otherwise(F.col("char")))
     by = rows.groupBy("item_id", "char").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean"), F.min("ord").alias("first"), F.sum("conf").alias("total"))
     if strategy == "majority":
         best = by.groupBy("item_id").agg(F.max(F.struct("n", F.round("mean", 9).alias("m"), (-F.col("first")).alias("f"), "char", "mean")).alias("b"), F.sum("n").alias("all"))
@@ -149,13 +149,13 @@ def align(boxes: DataFrame, chars: DataFrame) -> DataFrame:
         cost = [[j * GAP for j in range(m + 1)]] + [[(i + 1) * GAP] + [0.0] * m for i in range(n)]
         step = [[""] * (m + 1) for _ in range(n + 1)]
         for i in range(1, n + 1):
-            p, sure = pred[i - 1], conf[i - 1]
+            p, sure = (pred[i - 1] or "").strip()[:1].lower() if isinstance(pred[i - 1], str) else "", conf[i - 1]
             sure = LEAST_CONFIDENT if sure is None or sure != sure else sure
             for j in range(1, m + 1):
                 own = abs(wide[i - 1] - widths[j - 1])
-                if isinstance(p, str) and p and p.lower() == chars_[j - 1].lower():
+                if p and p == chars_[j - 1].strip()[:1].lower():
                     own -= BONUS * sure
-                elif isinstance(p, str) and p.isalnum():
+                elif p.isalnum():
                     own += MISMATCH
                 cost[i][j], step[i][j] = min(((cost[i - 1][j - 1] + own, 0), (cost[i - 1][j] + GAP, 1), (cost[i][j - 1] + GAP, 2)))
         out, i, j = [], n, m

@@ -16,19 +16,26 @@ WEIGHTS = {"Gold": 3, "Silver": 1, "Bronze": 0}
 
 
 def fuzzy_score(query: str, text: str) -> float:
-    """Points for the query's characters found in order: each counts, more after a separator, next to the last
-    one, and as a common prefix; 0 if one is missing, the same small score for every text if the query is empty."""
+    """The best of the ways to find the query's characters in order, one for each place of its first character.
+
+    Each character counts, more after a separator and next to the last one; a text that begins with the query
+    gets more for each character. 0 if one is missing; every text the same for an empty query.
+    """
     query, text = query.lower().strip(), text.lower()
     if not query:
         return EMPTY
-    score, at, last = 0.0, 0, -2
-    for ch in query:
-        at = text.find(ch, at)
-        if at < 0:
-            return 0.0
-        score += CHAR + WORD_START * (at == 0 or text[at - 1] in SEPARATORS) + CONSECUTIVE * (at == last + 1)
-        last, at = at, at + 1
-    return score + PREFIX * len(query) * text.startswith(query)
+    best = 0.0
+    for anchor in (i for i, c in enumerate(text) if c == query[0]):
+        score, last = 0.0, -2
+        for k, ch in enumerate(query):
+            at = anchor if k == 0 else text.find(ch, last + 1)
+            if at < 0:
+                score = 0.0
+                break
+            score += CHAR + WORD_START * (at == 0 or text[at - 1] in SEPARATORS) + CONSECUTIVE * (at == last + 1)
+            last = at
+        best = max(best, score)
+    return best + PREFIX * len(query) if best and text.startswith(query) else best
 
 
 def fuzzy_rank(rows: DataFrame, query: str, most: int = MOST) -> DataFrame:

@@ -17,11 +17,13 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Lines that are not blank with kind, text, heading level, indent level (two spaces each) and whether a blank line stands before."""
+    """Lines that are not blank with kind, text, heading level, number, indent level and whether a blank line stands before."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     rows = lines(docs).withColumn("kind", tx.line_kind(F.col("line"))).withColumn("gap_section", F.coalesce(F.lag(F.col("kind") == "blank").over(w), F.lit(False)))
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", r"^[ \t]*(#{1,3})", 1))).otherwise(0)
-    return rows.where("kind <> 'blank'").select("doc_id", "pos", "kind", tx.line_text(F.col("line")).alias("text"), level.alias("level"), F.floor(tx.indent(F.col("line")) / 2).cast("int").alias("indent_level"), "gap_section")
+    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", r"^[ \t]*(#{1,3})", 1))).otherwise(1)
+    marker = F.when(F.col("kind") == "numbered", F.regexp_extract("line", r"^[ \t]*([0-9]+)", 1)).otherwise("")
+    width = F.floor(tx.indent(F.col("line"), 2) / 2).cast("int")  # two spaces, or one tab, are a level
+    return rows.where("kind <> 'blank'").select("doc_id", "pos", "kind", tx.line_text(F.col("line")).alias("text"), level.alias("level"), marker.alias("marker"), width.alias("indent_level"), "gap_section")
 
 
 def is_structured(docs: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def indent_tree(docs: DataFrame) -> DataFrame:
 
     The stack of open lines is folded over a document's lines; it never holds more than the depth.
     """
-    rows = lines(docs).where(~F.col("line").rlike(r"^[ \t]*$")).select("doc_id", "pos", F.regexp_replace(F.trim(F.regexp_replace("line", "\t", " ")), r"^[-*•][ ]+", "").alias("label"), tx.indent(F.col("line")).alias("width"))
+    rows = lines(docs).where(~F.col("line").rlike(r"^[ \t]*$")).select("doc_id", "pos", F.regexp_replace(F.trim(F.regexp_replace("line", "\t", " ")), r"^[-*•][ ]+", "").alias("label"), tx.indent(F.col("line"), 4).alias("width"))
     by_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "width", "label"))).alias("rows"))
     kind = "struct<stack:array<struct<pos:int,width:int>>,out:array<int>>"
     start = F.struct(F.array().cast("array<struct<pos:int,width:int>>").alias("stack"), F.array().cast("array<int>").alias("out")).cast(kind)

@@ -10,6 +10,7 @@ from granary.functions import text as tx
 SUMMARY, FALLBACK = 5, 500
 TERMS, TERM_LENGTH = 15, 5
 CARDS, CARD_TERM, CARD_ANSWER = 12, 60, 200
+CARDS_WANTED, CARD_WORDS, CARD_CONTEXT = 4, 20, 150
 QUIZ, QUIZ_WORDS, QUIZ_HITS, QUIZ_MASKS = 8, 30, 2, 2
 LONGER = {"summary": 30, "cards": 20, "quiz": 40}
 # Definition patterns in order of priority (term and definition by number of the group).
@@ -59,33 +60,46 @@ def summaries(docs: DataFrame, most: int = SUMMARY) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(best, "doc_id", "left").select("doc_id", F.coalesce("best", F.substring("text", 1, FALLBACK)).alias("summary"))
 
 
-def flashcards(docs: DataFrame) -> DataFrame:
-    """(doc_id, ord, term, answer): the first pattern that a sentence fits, terms of under 60 characters, 12 a document."""
+def definition_cards(docs: DataFrame) -> DataFrame:
+    """(doc_id, ord, topic, answer): sentences that fit a pattern, the first one by priority, with a term of under 60 characters."""
     s = sentence_rows(docs, LONGER["cards"])
-    found = F.lit(None).cast("struct<term:string,answer:string>")
+    found = F.lit(None).cast("struct<topic:string,answer:string>")
     for pattern, term, answer in reversed(DEFINITIONS):
-        t = F.trim(F.regexp_extract("sentence", pattern, term))
-        found = F.when(F.col("sentence").rlike(pattern) & (t != "") & (F.length(t) < CARD_TERM), F.struct(t.alias("term"), F.substring(F.trim(F.regexp_extract("sentence", pattern, answer)), 1, CARD_ANSWER).alias("answer"))).otherwise(found)
-    cards = s.select("doc_id", "ord", found.alias("c")).where("c IS NOT NULL").select("doc_id", "ord", "c.*")
-    ranked = cards.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
-    return ranked.where(F.col("rank") <= CARDS).drop("rank")
+        t, d = F.trim(F.regexp_extract("sentence", pattern, term)), F.trim(F.regexp_extract("sentence", pattern, answer))
+        found = F.when(F.col("sentence").rlike(pattern) & (t != "") & (d != "") & (F.length(t) < CARD_TERM), F.struct(t.alias("topic"), F.substring(d, 1, CARD_ANSWER).alias("answer"))).otherwise(found)
+    return s.select("doc_id", "ord", found.alias("c")).where("c IS NOT NULL").select("doc_id", "ord", "c.*")
+
+
+def flashcards(docs: DataFrame) -> DataFrame:
+    """(doc_id, rank, topic, question, answer): definitions in order of the text; a document with under four
+    gets the surroundings of its top words as well; twelve cards at most."""
+    cards = definition_cards(docs)
+    few = docs.select("doc_id", "text").join(cards.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left").where(F.coalesce("n", F.lit(0)) < CARDS_WANTED)
+    words = top_words(docs, CARD_WORDS, TERM_LENGTH).join(few, "doc_id")
+    around = F.substring(F.regexp_substr("text", F.concat(F.lit(r"(?iU)\b"), F.col("word"), F.lit(r"\b.{5,120}"))), 1, CARD_CONTEXT)
+    context = words.select("doc_id", F.col("rank").alias("ord"), F.col("word").alias("topic"), around.alias("answer")).where("answer IS NOT NULL")
+    both = cards.withColumn("from", F.lit(0)).unionByName(context.withColumn("from", F.lit(1)))
+    question = F.when(F.col("from") == 0, F.concat(F.lit("¿Qué es "), "topic", F.lit("?"))).otherwise(F.concat(F.lit("¿Qué se dice sobre '"), "topic", F.lit("'?")))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("from", "ord")))
+    return ranked.where(F.col("rank") <= CARDS).select("doc_id", "rank", "topic", question.alias("question"), "answer")
 
 
 def cloze(docs: DataFrame) -> DataFrame:
-    """(doc_id, ord, question, hidden): sentences with two or more of the top words, the two most frequent masked throughout."""
-    top = top_words(docs, QUIZ_WORDS).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("top"))
+    """(doc_id, ord, question, answer, keywords): sentences with two or more of the top words, the first places of the two most frequent masked."""
+    top = top_words(docs, QUIZ_WORDS, TERM_LENGTH).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("top"))
     s = sentence_rows(docs, LONGER["quiz"]).join(top, "doc_id").withColumn("hits", F.array_intersect("top", tx.tokens(F.col("sentence"))))
-    s = s.where(F.size("hits") >= QUIZ_HITS).withColumn("hidden", F.slice("hits", 1, QUIZ_MASKS))
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("rank") <= QUIZ)
-    masked = F.regexp_replace("sentence", F.concat(F.lit(r"(?iU)\b(?:"), F.array_join("hidden", "|"), F.lit(r")\b")), F.lit("____"))
-    return s.select("doc_id", "ord", masked.alias("question"), "hidden")
+    s = s.where(F.size("hits") >= QUIZ_HITS).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("rank") <= QUIZ)
+    masked = F.col("sentence")
+    for k in range(QUIZ_MASKS):
+        masked = F.regexp_replace(masked, F.concat(F.lit(r"(?isU)^(.*?)\b"), F.get("hits", F.lit(k)), F.lit(r"\b")), F.lit("$1___"))
+    return s.select("doc_id", "ord", masked.alias("question"), F.col("sentence").alias("answer"), F.slice("hits", 1, 5).alias("keywords"))
 
 
 def bundles(docs: DataFrame) -> DataFrame:
     """A study bundle per document, keyed by the hash of its text: summary, key terms, cards and cloze items."""
     many = lambda df, *cols: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("x"))
     out = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("key")).join(summaries(docs), "doc_id")
-    for name, part in (("terms", many(key_terms(docs), "rank", "word")), ("cards", many(flashcards(docs), "ord", "term", "answer")), ("quiz", many(cloze(docs), "ord", "question"))):
+    for name, part in (("terms", many(key_terms(docs), "rank", "word")), ("cards", many(flashcards(docs), "rank", "question", "answer")), ("quiz", many(cloze(docs), "ord", "question"))):
         out = out.join(part.withColumnRenamed("x", name), "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema["x"].dataType)))
     return out
 

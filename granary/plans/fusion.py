@@ -89,7 +89,7 @@ def _zip(spark, sf_dir):
 
 def predictions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select(F.floor(F.col("event_id") / 5).alias("item_id"), F.pmod("event_id", F.lit(5)).cast("int").alias("ord"), F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.substring("event_type", 1, 1)).alias("char"), F.round(F.pmod("value", F.lit(1.0)), 2).alias("conf"))
+    return e.select(F.floor(F.col("event_id") / 5).alias("item_id"), F.pmod("event_id", F.lit(5)).cast("int").alias("ord"), F.when(F.col("event_id") % 11 == 0, "").otherwise(F.substring("event_type", 1, 1)).alias("char"), F.round(F.pmod("value", F.lit(1.0)), 2).alias("conf"))
 
 
 _PRED = "(SELECT event_id // 5 AS item_id, event_id % 5 AS ord, CASE WHEN event_id % 11 = 0 THEN '?' ELSE substr(event_type, 1, 1) END AS char, round(value % 1.0, 2) AS conf FROM events)"

@@ -248,7 +248,7 @@ def _normalise(spark, sf_dir):
     return store.median_normalised(rows, F.col("p_type") == "ECONOMY", F.col("p_type") == "SMALL").select("p_partkey", F.round("value", 4).alias("value"))
 
 
-@query("final_quality", f"SELECT id, round(CASE WHEN score < 0.48 THEN least(v, 0.749) ELSE v END, 6) AS final FROM (SELECT id, score, least(score * (0.7::DOUBLE + 0.3::DOUBLE * 0.5) * least(greatest(1 + 0.3::DOUBLE * (score - 0.5), 0.85), 1.10), 1.0) AS v FROM {_PART})")
+@query("final_quality", f"SELECT id, round(CASE WHEN score < 0.48 THEN least(v, 0.749999) ELSE v END, 6) AS final FROM (SELECT id, score, least(score * (0.7::DOUBLE + 0.3::DOUBLE * 0.5) * least(greatest(1 + 0.3::DOUBLE * (score - 0.5), 0.85), 1.10), 1.0) AS v FROM {_PART})")
 def _final(spark, sf_dir):
     return entries(spark, sf_dir).select("id", F.round(grades.final_quality(F.col("score"), F.lit(0.5), F.col("score")), 6).alias("final"))
 

@@ -96,8 +96,12 @@ def _tok(col: str) -> str:
     return _TOKENS.format(_PLAIN.replace("text", col))
 
 
-_GRADES = f"""(SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 0 ELSE round_even((0.4::DOUBLE * len(list_intersect(w, g))::DOUBLE / len(w) + 0.6::DOUBLE * CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda x: contains(p, x)))::DOUBLE / len(k) ELSE 0.5::DOUBLE END) * 100, 0)::INTEGER END AS grade
- FROM (SELECT q.conv_id, q.turn, list_distinct({_tok("q.text")}) AS w, list_distinct({_tok("a.text")}) AS g, list_distinct(list_filter({_tok("q.text")}, lambda x: length(x) >= 8)) AS k, {_PLAIN.replace("text", "a.text")} AS p
+def _split(col: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array({_PLAIN.replace('text', col)}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))"
+
+
+_GRADES = f"""(SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 0 ELSE round_even((0.4::DOUBLE * (len(list_intersect(w, g))::DOUBLE / len(w)) + 0.6::DOUBLE * CASE WHEN len(k) > 0 THEN len(list_intersect(k, g))::DOUBLE / len(k) ELSE 0.5::DOUBLE END) * 100, 0)::INTEGER END AS grade
+ FROM (SELECT q.conv_id, q.turn, {_split("q.text")} AS w, {_split("a.text")} AS g, list_distinct(list_filter({_tok("q.text")}, lambda x: length(x) >= 8)) AS k
  FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'))"""
 
 
@@ -123,7 +127,7 @@ def _accents(spark, sf_dir):
 
 @query("wrapper_strip", "SELECT conv_id, turn, text AS answer FROM conversations")
 def _strip(spark, sf_dir):
-    wrapped = F.concat(F.lit('Aquí está el texto corregido:\n"'), F.trim("text"), F.lit('"'))
+    wrapped = F.concat(F.lit('"Aquí está el texto corregido:\n'), F.trim("text"), F.lit('"'))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.strip_wrapper(wrapped).alias("answer"))
 
 
@@ -138,7 +142,7 @@ def _diff(spark, sf_dir):
 
 
 _LINES = "(SELECT doc_id, unnest(l) AS line, unnest(range(len(l)))::INTEGER AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
-_KIND = r"CASE WHEN regexp_full_match(line, '[ \t]*') THEN 'blank' WHEN regexp_matches(line, '^[ \t]*#{1,3}[ \t]+[^ \t\n\x0b\f\r]') THEN 'heading' WHEN regexp_matches(line, '^[ \t]*[0-9]{1,3}[:.)][ \t]+[^ \t\n\x0b\f\r]') THEN 'numbered' WHEN regexp_matches(line, '^[ \t]*[-*•][ \t]+[^ \t\n\x0b\f\r]') THEN 'bullet' ELSE 'paragraph' END"
+_KIND = r"CASE WHEN regexp_full_match(line, '[ \t\n\x0b\f\r]*') THEN 'blank' WHEN regexp_matches(line, '^[ \t]*#{1,3}[ \t\n\x0b\f\r]') THEN 'heading' WHEN regexp_matches(line, '^[ \t]*[0-9]+[:.)][ \t\n\x0b\f\r]') THEN 'numbered' WHEN regexp_matches(line, '^[ \t]*[-*•][ \t\n\x0b\f\r]') THEN 'bullet' ELSE 'paragraph' END"
 
 
 def _marked(spark, sf_dir):
@@ -151,8 +155,8 @@ _MARKED = "(SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(1
 _MLINES = f"(SELECT doc_id, unnest(m) AS line, unnest(range(len(m)))::INTEGER AS pos FROM (SELECT doc_id, string_split(array_to_string(l, chr(10)), chr(10)) AS m FROM {_MARKED}))"
 
 
-@query("structure_blocks", rf"""SELECT doc_id, pos, kind, level, indent_level, gap_section FROM (SELECT doc_id, pos, {_KIND} AS kind, CASE WHEN {_KIND} = 'heading' THEN length(regexp_extract(line, '^[ \t]*(#{{1,3}})', 1)) ELSE 0 END::INTEGER AS level,
- (length(replace(regexp_extract(line, '^([ \t]*)', 1), chr(9), '    ')) // 2)::INTEGER AS indent_level, coalesce(lag({_KIND} = 'blank') OVER (PARTITION BY doc_id ORDER BY pos), false) AS gap_section FROM {_MLINES}) WHERE kind <> 'blank'""")
+@query("structure_blocks", rf"""SELECT doc_id, pos, kind, level, marker, indent_level, gap_section FROM (SELECT doc_id, pos, {_KIND} AS kind, CASE WHEN {_KIND} = 'heading' THEN length(regexp_extract(line, '^[ \t]*(#{{1,3}})', 1)) ELSE 1 END::INTEGER AS level, CASE WHEN {_KIND} = 'numbered' THEN regexp_extract(line, '^[ \t]*([0-9]+)', 1) ELSE '' END AS marker,
+ (length(replace(regexp_extract(line, '^([ \t]*)', 1), chr(9), '  ')) // 2)::INTEGER AS indent_level, coalesce(lag({_KIND} = 'blank') OVER (PARTITION BY doc_id ORDER BY pos), false) AS gap_section FROM {_MLINES}) WHERE kind <> 'blank'""")
 def _blocks(spark, sf_dir):
     return structure.blocks(_marked(spark, sf_dir)).drop("text")
 

@@ -22,9 +22,7 @@ def json_records(spark: SparkSession, path: str | list[str], schema: T.StructTyp
     files give no rows; ``strict`` fails on them instead."""
     if strict:
         return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreMissingFiles", True).json(path)
-    return read.where("_corrupt IS NULL").drop("_corrupt")
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("ignoreMissingFiles", True).json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
