@@ -6,7 +6,7 @@ import pytest
 from granary.functions import grades, tolerant
 from granary.functions import text as tx
 from granary.functions.boxes import iou
-from granary.operators import blocks, fingerprints, fusion, integrity, layout, ledger, ranking, store, structure, study
+from granary.operators import blocks, fingerprints, fusion, integrity, layout, ledger, ranking, records, store, structure, study
 from granary.sources import files, sinks
 from granary.streaming import telemetry
 from pyspark.sql import functions as F
@@ -352,3 +352,28 @@ def test_streams_equal_batches(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() >= 0
+
+
+def test_stacked_boxes(spark):
+    rows = [[(0, 5, 10, 20), (2, 0, 6, 3), (9, 5, 20, 20), (30, 0, 40, 9)], []]
+    df = spark.createDataFrame([(i, [tuple(b) for b in r]) for i, r in enumerate(rows)], "i int, b array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>>")
+    got = {r.i: [tuple(x) for x in r.m] for r in df.select("i", records.merged_stacks(F.col("b")).alias("m")).collect()}
+    assert got == {0: [(0, 0, 10, 20), (9, 5, 20, 20), (30, 0, 40, 9)], 1: []}
+
+
+def test_chains_and_variants(spark):
+    chains = spark.createDataFrame([(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 20, 21), (5, 21, 22), (6, 21, 23)], "id long, a long, b long")
+    assert {r.id: r.chain for r in records.merged_chains(chains).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+    rows = spark.createDataFrame([("a", 1, "Silver", False), ("a", 2, "Gold", True), ("a", 3, "Silver", False), ("a", 4, "Bronze", False), ("b", 5, "Gold", True)], "char string, id int, tier string, degenerate boolean")
+    got = records.chosen_variant(rows).collect()
+    assert len(got) == 1 and got[0].char == "a" and got[0].id in (1, 3)
+
+
+def test_gates_and_moves(spark):
+    df = spark.createDataFrame([(0.9, "a", 0.9), (0.1, "a", 0.9), (None, "&", 0.9), (0.9, "?", 0.1), (0.9, None, 0.9)], "c double, ch string, q double")
+    assert [r[0] for r in df.select(records.gate_reason(F.col("c"), F.col("ch"), F.col("q"), 0.3, 0.5)).collect()] == [None, "confidence", "alphabet", "quality", None]
+    paths = spark.createDataFrame([("old/a.png",), ("older/a.png",), (None,)], "p string")
+    assert [r[0] for r in records.moved_paths(paths, "p", "old", "new").collect()] == ["new/a.png", "older/a.png", None]
+    ring = records.neighbours(spark.createDataFrame([(1, 5), (1, 7), (2, 9)], "k int, o int"), "k", "o").orderBy("k", "o").collect()
+    assert [(r.next, r.prev) for r in ring] == [(7, 7), (5, 5), (9, 9)]
+    assert records.options_signature(b=1, a="x") == "a=x|b=1"
