@@ -32,7 +32,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s]")
 _DIGITS = re.compile(r"[0-9]")
 _UPPER = re.compile(r"[A-Z]")
-_LEAST_DOCS = 3
+_LEAST_DOCS = 5
+#: Lengths of the beginnings of words.
+STARTS = (3, 4)
 
 
 def marks(text: str) -> list[str]:
@@ -43,12 +45,15 @@ def marks(text: str) -> list[str]:
 
 
 def features(text: str | None) -> list[str]:
-    """The distinct words of the whole text in lower case, and its marks (in angle brackets, so no word is one)."""
+    """The distinct words of the whole text in lower case, their beginnings (up to a hyphen), which tell of words
+    that the sample lacks, and the text's marks (in angle brackets, so no word is one)."""
     text = text or ""
-    return [*dict.fromkeys(_WORD.findall(text.lower())), *marks(text)]
+    words = dict.fromkeys(_WORD.findall(text.lower()))
+    starts = {f"{w[:n]}-" for w in words for n in STARTS}
+    return [*words, *sorted(starts), *marks(text)]
 
 
-def fit_chain(rows: list[tuple[list[str], dict[str, int | None]]], chain: tuple[str, ...], folds: int = FOLDS, rounds: int = 3) -> list[dict]:
+def fit_chain(rows: list[tuple[list[str], dict[str, int | None]]], chain: tuple[str, ...], folds: int = FOLDS, rounds: int = 4) -> list[dict]:
     """A model for each category in turn: feature weights, intercept, and weights of the earlier categories.
 
     A row without a label for a category is left out of that category's model. A category without
@@ -66,7 +71,7 @@ def fit_chain(rows: list[tuple[list[str], dict[str, int | None]]], chain: tuple[
         y = np.array([-1 if labels.get(category) is None else labels[category] for _, labels in rows], np.int64)
 
         def fitted(use: np.ndarray, examples=examples, width=width, y=y) -> np.ndarray:
-            return Ftrl(width, 2, alpha=0.3, l1=1.0, l2=1.0).fit([examples[i] for i in use], y[use], rounds).weights()
+            return Ftrl(width, 2, alpha=0.4, l1=3.0, l2=0.5).fit([examples[i] for i in use], y[use], rounds).weights()
 
         own = np.zeros(len(rows))
         for k in range(folds):
