@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialise
 
 WINDOW = 10
 _SENTINEL = 0
@@ -117,11 +117,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
+    if remove == "documents":
+        # Contamination depends on the text alone, so the scan carries a digest of it and no other column.
+        texts = docs.select(F.md5(docs[text_col].cast("binary")).alias("_id"), docs[text_col].alias("_text"))
+        bad = materialise(find_contamination(texts, benchmark, id_col="_id", text_col="_text", size=size, **names).where("n_hit > 0").select("_id").distinct())
+        return docs.join(bad, F.md5(docs[text_col].cast("binary")) == bad["_id"], "left_anti")
     row = fresh(docs, "_granary_doc")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[text_col].alias("_text"))
     found = find_contamination(packed.withColumn("_id", F.lit(0)), benchmark, id_col="_id", text_col="_text", size=size, keep=(row,), **names)
-    if remove == "documents":
-        return found.where("n_hit = 0").select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
     text = F.col(f"{row}.`{text_col}`")
     words = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
     gaps = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
