@@ -48,18 +48,27 @@ def price(pages: Column, urgency: Column, job_type: Column, base: float = BASE_P
 
 
 def price_breakdown(pages: Column, urgency: Column, job_type: Column, base: float = BASE_PRICE) -> Column:
-    """Every factor of the price, the total, the advance and the rest."""
+    """The pages' base price, every factor, the total and the advance."""
     n, total = safe_int(pages), price(pages, urgency, job_type, base)
-    advance = money(total * ADVANCE)
     return F.struct(
-        F.lit(base).alias("base"), n.alias("pages"), lookup(URGENCY, urgency, 1.0).alias("urgency_factor"), lookup(JOB_TYPE, job_type, 1.0).alias("type_factor"),
-        F.round(1 + COMPLEXITY * n, 3).alias("complexity"), total.alias("total"), advance.alias("advance"), money(total - advance).alias("rest"),
+        money(base * n).alias("base"), lookup(URGENCY, urgency, 1.0).alias("urgency_multiplier"), lookup(JOB_TYPE, job_type, 1.0).alias("type_multiplier"),
+        F.round(1 + COMPLEXITY * n, 3).alias("complexity_factor"), total.alias("total"), money(total * ADVANCE).alias("advance_suggested"),
     )
 
 
-def quote_message(client: Column, job_type: Column, pages: Column, deadline: Column, total: Column, advance: Column) -> Column:
-    """A quote as text: amounts with thousands separators and two decimals, one fact a line."""
-    return F.concat_ws(
-        "\n", F.concat(F.lit("Hola "), F.coalesce(client, F.lit("")), F.lit(":")), F.concat_ws(" ", F.lit("Trabajo:"), job_type, F.lit("-"), safe_int(pages).cast("string"), F.lit("págs.")),
-        F.concat_ws(" ", F.lit("Entrega:"), F.coalesce(deadline, F.lit("por definir"))), F.concat(F.lit("Total: $"), F.format_number(total, 2)), F.concat(F.lit("Anticipo: $"), F.format_number(advance, 2)),
-    )
+# Fixed value: the text of a quote.
+QUOTE = (
+    "Hola {client} 👋\n\nTe comparto la cotización para tu {type}:\n\n📄 Páginas: {pages}\n⚡ Urgencia: {urgency}\n💰 Total: ${total} MXN\n"
+    "💳 Anticipo (50%): ${advance} MXN\n📅 Entrega: {deadline}\n\n¿Te parece bien? Confirma para empezar. ✅"
+)
+NO_DEADLINE = "Por acordar"
+
+
+def quote_message(client: Column, job_type: Column, pages: Column, urgency: Column, deadline: Column, total: Column) -> Column:
+    """The quote's text with its facts; amounts have thousands separators and two decimals, a null fact is empty."""
+    late = F.when(F.coalesce(deadline, F.lit("")) == "", NO_DEADLINE).otherwise(deadline)
+    facts = {"client": client, "type": F.lower(job_type), "pages": pages, "urgency": urgency, "total": F.format_number(total, 2), "advance": F.format_number(money(total * ADVANCE), 2), "deadline": late}
+    out = F.lit(QUOTE)
+    for name, value in facts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return out

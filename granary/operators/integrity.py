@@ -40,9 +40,9 @@ def last_errors(events: DataFrame, most: int = 10) -> DataFrame:
     return events.where("category = 'error'").orderBy(F.desc("ts"), F.desc("id")).limit(most)
 
 
-def slow(events: DataFrame, over: float = 500.0, most: int = 10) -> DataFrame:
+def slow(events: DataFrame, over: float = 500.0, most: int = 10, category: str = "timing") -> DataFrame:
     """The latest timings beyond a limit."""
-    return events.where(F.col("value") > over).orderBy(F.desc("ts"), F.desc("id")).limit(most)
+    return events.where((F.col("category") == category) & (F.col("value") > over)).orderBy(F.desc("ts"), F.desc("id")).limit(most)
 
 
 def frequent(events: DataFrame, most: int = 10) -> DataFrame:
@@ -51,8 +51,9 @@ def frequent(events: DataFrame, most: int = 10) -> DataFrame:
     return found.orderBy(F.desc("n"), "first").limit(most).select("what", "n")
 
 
-def averages(events: DataFrame) -> DataFrame:
-    return events.where("value IS NOT NULL").groupBy("category").agg(F.round(F.avg("value"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
+def averages(events: DataFrame, category: str = "timing") -> DataFrame:
+    """Mean and number of the timings of each operation."""
+    return events.where((F.col("category") == category) & F.col("value").isNotNull()).groupBy("name").agg(F.round(F.avg("value"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def ring_buffer(events: DataFrame, size: int = 1000) -> DataFrame:

@@ -241,6 +241,6 @@ def cache_size(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.round(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 4).alias("mb"))
 
 
-def options_signature(**options: object) -> str:
-    """Options as a text that is equal for equal options."""
-    return "|".join(f"{k}={options[k]}" for k in sorted(options))
+def options_signature(lang: str, dpi: int, handwriting: bool, pages: list[int] | None, layout: bool) -> str:
+    """The options that change a result, as one text."""
+    return "|".join([lang, str(dpi), str(int(handwriting)), "all" if pages is None else str(sorted(pages)), str(int(layout))])

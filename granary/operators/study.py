@@ -79,6 +79,7 @@ def flashcards(docs: DataFrame) -> DataFrame:
     around = F.substring(F.regexp_substr("text", F.concat(F.lit(r"(?iU)\b"), F.col("word"), F.lit(r"\b.{5,120}"))), 1, CARD_CONTEXT)
     context = words.select("doc_id", F.col("rank").alias("ord"), F.col("word").alias("topic"), around.alias("answer")).where("answer IS NOT NULL")
     both = cards.withColumn("from", F.lit(0)).unionByName(context.withColumn("from", F.lit(1)))
+    # The two questions.
     question = F.when(F.col("from") == 0, F.concat(F.lit("¿Qué es "), "topic", F.lit("?"))).otherwise(F.concat(F.lit("¿Qué se dice sobre '"), "topic", F.lit("'?")))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("from", "ord")))
     return ranked.where(F.col("rank") <= CARDS).select("doc_id", "rank", "topic", question.alias("question"), "answer")

@@ -69,9 +69,9 @@ def _errors(spark, sf_dir):
     return integrity.last_errors(events(spark, sf_dir)).select("id", "ts")
 
 
-@query("diag_slow", f"SELECT id, category, value FROM {_EV} WHERE value > 500 ORDER BY ts DESC, id DESC LIMIT 10")
+@query("diag_slow", f"SELECT id, category, value FROM {_EV} WHERE category = 'view' AND value > 500 ORDER BY ts DESC, id DESC LIMIT 10")
 def _slow(spark, sf_dir):
-    return integrity.slow(events(spark, sf_dir)).select("id", "category", "value")
+    return integrity.slow(events(spark, sf_dir), category="view").select("id", "category", "value")
 
 
 @query("diag_frequent", f"SELECT category || '/' || name AS what, count(*) AS n FROM {_EV} GROUP BY 1 ORDER BY n DESC, min(id) LIMIT 10")
@@ -79,9 +79,9 @@ def _frequent(spark, sf_dir):
     return integrity.frequent(events(spark, sf_dir))
 
 
-@query("diag_avg", f"SELECT category, round(avg(value), 4) AS mean, count(*) AS n FROM {_EV} GROUP BY category")
+@query("diag_avg", f"SELECT name, round(avg(value), 4) AS mean, count(*) AS n FROM {_EV} WHERE category = 'view' GROUP BY name")
 def _avg(spark, sf_dir):
-    return integrity.averages(events(spark, sf_dir))
+    return integrity.averages(events(spark, sf_dir), "view")
 
 
 @query("ring_buffer", f"SELECT id FROM {_EV} ORDER BY ts DESC, id DESC LIMIT 1000")

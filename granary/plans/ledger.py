@@ -107,15 +107,21 @@ def _price(spark, sf_dir):
     return jobs(spark, sf_dir).select("id", tolerant.safe_int(F.col("pages")).alias("pages"), tolerant.price(F.col("pages"), F.col("urgency"), F.col("job_type")).alias("price"))
 
 
-@query("job_price_breakdown", f"SELECT id, 50.0::DOUBLE AS base, pages, {_UF} AS urgency_factor, {_TF} AS type_factor, round(1 + 0.015::DOUBLE * pages, 3) AS complexity, {_PRICE} AS total, round({_PRICE} * 0.5::DOUBLE, 2) AS advance, round({_PRICE} - round({_PRICE} * 0.5::DOUBLE, 2), 2) AS rest FROM {_JOBS}")
+@query("job_price_breakdown", f"SELECT id, round(50.0::DOUBLE * pages, 2) AS base, {_UF} AS urgency_multiplier, {_TF} AS type_multiplier, round(1 + 0.015::DOUBLE * pages, 3) AS complexity_factor, {_PRICE} AS total, round({_PRICE} * 0.5::DOUBLE, 2) AS advance_suggested FROM {_JOBS}")
 def _breakdown(spark, sf_dir):
     return jobs(spark, sf_dir).select("id", tolerant.price_breakdown(F.col("pages"), F.col("urgency"), F.col("job_type")).alias("b")).select("id", "b.*")
 
 
-@query("quote_message", f"""SELECT id, 'Hola ' || client_name || ':' || chr(10) || 'Trabajo: ' || job_type || ' - ' || pages || ' págs.' || chr(10) || 'Entrega: por definir' || chr(10) || 'Total: $' || format('{{:,.2f}}', {_PRICE}) || chr(10) || 'Anticipo: $' || format('{{:,.2f}}', round({_PRICE} * 0.5::DOUBLE, 2)) AS message FROM {_JOBS}""")
+_QUOTE = "'" + tolerant.QUOTE.replace("\n", "' || chr(10) || '") + "'"
+for _name, _value in {"client": "client_name", "type": "lower(job_type)", "pages": "pages::VARCHAR", "urgency": "urgency", "total": f"format('{{:,.2f}}', {_PRICE})", "advance": f"format('{{:,.2f}}', round({_PRICE} * 0.5::DOUBLE, 2))", "deadline": "'Por acordar'"}.items():
+    _QUOTE = _QUOTE.replace("{" + _name + "}", f"' || {_value} || '")
+
+
+@query("quote_message", f"SELECT id, {_QUOTE} AS message FROM {_JOBS}")
 def _quote(spark, sf_dir):
     total = tolerant.price(F.col("pages"), F.col("urgency"), F.col("job_type"))
-    return jobs(spark, sf_dir).select("id", tolerant.quote_message(F.col("client_name"), F.col("job_type"), F.col("pages"), F.lit(None).cast("string"), total, tolerant.money(total * tolerant.ADVANCE)).alias("message"))
+    message = tolerant.quote_message(F.col("client_name"), F.col("job_type"), tolerant.safe_int(F.col("pages")).cast("string"), F.col("urgency"), F.lit(None).cast("string"), total)
+    return jobs(spark, sf_dir).select("id", message.alias("message"))
 
 
 @query("tolerant_parse", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 3 = 1 THEN 0.0 ELSE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0) END AS amount,

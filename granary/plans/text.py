@@ -209,12 +209,12 @@ def _chars(spark, sf_dir):
     return structure.char_order(structure.characters(docs(spark, sf_dir))).select("char", "kind")
 
 
-@query("charset_description", r"SELECT doc_id, concat_ws(' + ', CASE WHEN regexp_matches(text, '\p{Ll}') THEN 'minúsculas' END, CASE WHEN regexp_matches(text, '\p{Lu}') THEN 'mayúsculas' END, CASE WHEN regexp_matches(text, '\p{N}') THEN 'dígitos' END, CASE WHEN regexp_matches(text, '[^\p{L}\p{N}\s]') THEN 'signos' END) AS kinds FROM documents")
+@query("charset_description", "SELECT doc_id, 'tuya:' || concat_ws('+', CASE WHEN regexp_matches(text, '[a-zñ]') THEN 'min' END, CASE WHEN regexp_matches(text, '[A-ZÑ]') THEN 'MAY' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'díg' END, CASE WHEN regexp_matches(text, '[.,;:!¡?¿()\"''-]') THEN 'punt' END, CASE WHEN regexp_matches(text, '[áéíóúÁÉÍÓÚ]') THEN 'acent' END) || '×' || (doc_id % 4) AS kinds FROM documents WHERE regexp_matches(text, '[a-zA-Z]')")
 def _charset(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.describe_charset(F.col("text")).alias("kinds"))
+    return docs(spark, sf_dir).where(F.col("text").rlike("[a-zA-Z]")).select("doc_id", tx.describe_charset(F.col("text"), F.col("doc_id") % 4).alias("kinds"))
 
 
-@query("slugify", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+@query("slugify", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
 def _slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"))
 

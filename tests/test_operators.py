@@ -376,4 +376,6 @@ def test_gates_and_moves(spark):
     assert [r[0] for r in records.moved_paths(paths, "p", "old", "new").collect()] == ["new/a.png", "older/a.png", None]
     ring = records.neighbours(spark.createDataFrame([(1, 5), (1, 7), (2, 9)], "k int, o int"), "k", "o").orderBy("k", "o").collect()
     assert [(r.next, r.prev) for r in ring] == [(7, 7), (5, 5), (9, 9)]
-    assert records.options_signature(b=1, a="x") == "a=x|b=1"
+    assert records.options_signature("spa", 200, True, [2, 1], False) == "spa|200|1|[1, 2]|0"
+    assert values(spark, tx.slug(V), ["Mi Perfil!", "  ", "a--b__c", "ñ"]) == ["mi_perfil", "perfil", "a--b_c", "perfil"]
+    assert values(spark, tx.describe_charset(V, F.lit(3)), ["abc", "aB1.é", "", "日本"]) == ["tuya:min×3", "tuya:min+MAY+díg+punt+acent×3", "tuya:?×3", "tuya:日本×3"]
