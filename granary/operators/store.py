@@ -19,7 +19,7 @@ def report(rows: DataFrame) -> DataFrame:
     """(char, n, avg_score, best_tier) for each key."""
     rank = F.max(grades.tier_rank(F.col("tier")))
     best = F.element_at(F.array(*[F.lit(t) for t in grades.TIERS]), rank + 1)
-    return rows.groupBy("char").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("avg_score"), best.alias("best_tier"))
+    return rows.groupBy("char").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("avg_score"), best.alias("best_tier"))
 
 
 def by_tier(rows: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def by_tier(rows: DataFrame) -> DataFrame:
 
 def coverage(rows: DataFrame, alphabet: list[str]) -> DataFrame:
     """One row: rows, distinct keys, how many of the alphabet are there, and the mean score."""
-    have = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("char").alias("n_chars"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 4).alias("avg_score"), F.countDistinct(F.when(F.col("char").isin(alphabet), F.col("char"))).alias("n_covered"))
+    have = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("char").alias("n_chars"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 3).alias("avg_score"), F.countDistinct(F.when(F.col("char").isin(alphabet), F.col("char"))).alias("n_covered"))
     return have.withColumn("n_missing", F.lit(len(set(alphabet))) - F.col("n_covered"))
 
 

@@ -99,7 +99,7 @@ def entries(spark, sf_dir):
 _SCORE = "round((p_partkey * 37 % 101) / 100.0::DOUBLE, 2)"
 _TIER = f"CASE WHEN {_SCORE} >= 0.75 THEN 'Gold' WHEN {_SCORE} >= 0.48 THEN 'Silver' ELSE 'Bronze' END"
 _PART = f"(SELECT p_partkey AS id, p_brand AS char, {_SCORE} AS score, {_TIER} AS tier, p_size % 10 = 0 AS misread FROM part)"
-_REPORT = f"(SELECT char, count(*) AS n, round(avg(score), 4) AS avg_score, CASE max(CASE tier WHEN 'Gold' THEN 2 WHEN 'Silver' THEN 1 ELSE 0 END) WHEN 2 THEN 'Gold' WHEN 1 THEN 'Silver' ELSE 'Bronze' END AS best_tier FROM {_PART} GROUP BY char)"
+_REPORT = f"(SELECT char, count(*) AS n, round(avg(score), 3) AS avg_score, CASE max(CASE tier WHEN 'Gold' THEN 2 WHEN 'Silver' THEN 1 ELSE 0 END) WHEN 2 THEN 'Gold' WHEN 1 THEN 'Silver' ELSE 'Bronze' END AS best_tier FROM {_PART} GROUP BY char)"
 
 
 @query("tier", f"SELECT id, tier FROM {_PART}")
@@ -120,7 +120,7 @@ def _by_tier(spark, sf_dir):
 _BRANDS = [f"Brand#{i}" for i in range(1, 31)]
 
 
-@query("store_coverage", f"SELECT count(*) AS n, count(DISTINCT char) AS n_chars, round(avg(score), 4) AS avg_score, count(DISTINCT char) FILTER (WHERE substr(char, 7)::INTEGER BETWEEN 1 AND 30) AS n_covered, 30 - count(DISTINCT char) FILTER (WHERE substr(char, 7)::INTEGER BETWEEN 1 AND 30) AS n_missing FROM {_PART}")
+@query("store_coverage", f"SELECT count(*) AS n, count(DISTINCT char) AS n_chars, round(avg(score), 3) AS avg_score, count(DISTINCT char) FILTER (WHERE substr(char, 7)::INTEGER BETWEEN 1 AND 30) AS n_covered, 30 - count(DISTINCT char) FILTER (WHERE substr(char, 7)::INTEGER BETWEEN 1 AND 30) AS n_missing FROM {_PART}")
 def _store_coverage(spark, sf_dir):
     return store.coverage(entries(spark, sf_dir), _BRANDS)
 
