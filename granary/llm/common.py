@@ -7,6 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,17 @@ def blocks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def slices(batch: pa.RecordBatch, at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text in column ``at``; a longer text is a part of its own.
+    No text becomes a Python object before its part's turn."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > limit:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield batch.slice(start)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import slices
 from .hashing import MIX, KeyTable, Numbers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -226,13 +226,13 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared, alpha)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts, 1 << 21):
-                found = lattice.encode([t or "" for t in texts[a:b]], [row_key(seed, k) for k in keys[a:b]])
-                empty = np.array([t is None for t in texts[a:b]])
+            for part in slices(batch, 1, 1 << 21):
+                texts = part.column(1).to_pylist()
+                found = lattice.encode([t or "" for t in texts], [row_key(seed, k) for k in part.column(0).to_pylist()])
+                empty = np.array([t is None for t in texts])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else [], pa.int32()), mask=pa.array(empty))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], [id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
