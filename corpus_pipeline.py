@@ -42,7 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text as sampled piece ids, and the text that the ids decode to. The ids are written first, so that
     encoder and decoder are not in memory together."""
-    encoded = materialise(encode_pieces(docs))
+    encoded = materialise(encode_pieces(docs, block_bytes=1 << 20))
     return decode_pieces(encoded.select("doc_id", F.col("ids").alias("pieces"), "ids"), "ids", "text")
 
 

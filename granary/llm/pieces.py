@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import release, slices
 from .hashing import MIX, KeyTable, Numbers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -214,11 +214,12 @@ def _lattice(shared, alpha: float) -> Lattice:
     return Lattice(pieces, kinds, alpha)
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, alpha: float = 0.5, seed: int = 17) -> DataFrame:
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, alpha: float = 0.5, seed: int = 17, block_bytes: int = 1 << 21) -> DataFrame:
     """One row (id, ``ids`` array of int) per input row, in a reproducible sampled segmentation.
 
     A null text gives null, an empty one no ids; rows with equal key and text get equal ids; a null key
-    is a key like any other. Texts of any length are encoded whole. Other columns are not read.
+    is a key like any other. Texts of any length are encoded whole,
+    in blocks of about ``block_bytes``; smaller ones take less memory and more time. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
     rows = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
@@ -226,13 +227,14 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared, alpha)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, block_bytes):
                 texts = part.column(1).to_pylist()
                 found = lattice.encode([t or "" for t in texts], [row_key(seed, k) for k in part.column(0).to_pylist()])
                 empty = np.array([t is None for t in texts])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else [], pa.int32()), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
+        release()
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
@@ -251,5 +253,6 @@ def decode_pieces(encoded: DataFrame, ids_col: str = "ids", out_col: str = "deco
                 part = batch.slice(a, 200)
                 texts = [None if x is None else lattice.decode(x) for x in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*kept, out_col])
+        release()
 
     return rows.mapInArrow(run, schema)

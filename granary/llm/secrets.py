@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import blocks, release
 
 try:
     from re import _constants as sre, _parser as sre_parse
@@ -261,5 +261,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
                 done = [t if t is None else redacted(t, s) for t, s in zip(texts[a:b], spans, strict=True)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(done, batch.column(at).type) if i == at else c for i, c in enumerate(part.columns)], schema=batch.schema)
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, materialise
+from .common import blocks, fresh, materialise, release
 
 BITS, LIMIT, SHINGLE, SEED = 64, 3, 3, 42
 _FAN = 8
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for a, b in blocks(texts, 1 << 24):
                 fps = np.array([fingerprint(t) for t in texts[a:b]], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps)], [id_col, "fp"])
+        release()
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fp long")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh
+from .common import blocks, fresh, release
 from .langid import bounded_sample
 from .linear import Ftrl, logits, softmax
 
@@ -133,6 +133,7 @@ def with_toxicity(docs: DataFrame, model: list[dict], text_col: str, columns: di
             for a, b in blocks(texts, 1 << 22):
                 p = np.array([chain_probabilities(fitted, features(t)) if t else [0.0] * len(fitted) for t in texts[a:b]]).reshape(-1, len(fitted))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *[pa.array(p[:, k]) for k in range(len(fitted))]], names)
+        release()
 
     return docs.mapInArrow(run, schema)
 
