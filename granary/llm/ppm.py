@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_remainder, materialise
+from .common import crc_remainder, materialise, slices
 from .hashing import KeyTable, Numbers
 
 ORDER = 5
@@ -66,9 +66,8 @@ def corpus_counts(train: DataFrame, text_col: str = "text", order: int = ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in blocks(texts, 1 << 22):
-                raw = [_raw(t) for t in texts[a:b]]
+            for part in slices(batch, 0, _STEP):
+                raw = [_raw(t) for t in part.column(0).to_pylist()]
                 known, numbers = Numbers(), []
                 for r in raw:
                     numbers.extend(map(known.__getitem__, r.lower().split()))
@@ -79,7 +78,7 @@ def corpus_counts(train: DataFrame, text_col: str = "text", order: int = ORDER)
                     for codes in coded(r, order):
                         small.append(codes)
                         size += len(codes)
-                        if size > 2 * _STEP:
+                        if size > _STEP:
                             found.append((1, *_counted(small)))
                             small, size = [], 0
                 if small:
@@ -187,10 +186,9 @@ def score_texts(
         logs = np.append(np.log10(times + 1.0), 0.0)
         end = int(table.find(np.array([_END], np.uint64))[0])
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in blocks(texts, 1 << 21):
+            for part in slices(batch, 2, _STEP // 2):
                 known, numbers, size = Numbers(), [], []
-                raw = [_raw(t) for t in texts[a:b]]
+                raw = [_raw(t) for t in part.column(2).to_pylist()]
                 for r in raw:
                     w = r.lower().split()
                     size.append(len(w))
@@ -198,14 +196,14 @@ def score_texts(
                 hashes = _word_hashes(list(known))
                 place = table.find(hashes)
                 number = np.array(numbers, np.int64)
-                doc = np.repeat(np.arange(b - a), size)
+                n_docs = len(raw)
+                doc = np.repeat(np.arange(n_docs), size)
                 at = place[number]
                 in_head = at >= 0
-                sums = np.bincount(doc, np.where(in_head, logs[at], 0.0), b - a) + (logs[end] if end >= 0 else 0.0)
-                n_head = np.bincount(doc, in_head, b - a).astype(np.int64) + (end >= 0)
-                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, ~in_head, b - a))]).astype(np.int32)), pa.array(hashes[number[~in_head]].view(np.int64)))
+                sums = np.bincount(doc, np.where(in_head, logs[at], 0.0), n_docs) + (logs[end] if end >= 0 else 0.0)
+                n_head = np.bincount(doc, in_head, n_docs).astype(np.int64) + (end >= 0)
+                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, ~in_head, n_docs))]).astype(np.int32)), pa.array(hashes[number[~in_head]].view(np.int64)))
                 scores = [sum(float(trie.log10(c).sum()) for c in coded(r, order)) for r in raw] if max(map(len, raw)) > 1 << 16 else _scored(trie, raw, order)
-                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.array(size, np.int64) + 1), pa.array(n_head), pa.array(sums), tail, pa.array(scores, pa.float64())], ["at", "id", "fold", "n_tokens", "n_head", "sums", "tail", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
