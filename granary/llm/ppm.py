@@ -1,11 +1,13 @@
 """Language-model scoring by partial matching over a trie of byte contexts.
 
 Training counts every byte after its five predecessors, over all training documents; counts of shorter
-contexts are sums of these. A node stays in the trie while it holds at least ``share`` of all training
-bytes (and one), which bounds the trie to 1 / share nodes an order however large the corpus is; what is
-cut adds to its context's escape. A byte is coded in its longest known context; a byte not seen there
-escapes to the next shorter context, in which all bytes seen above are excluded, down to an even choice
-among the bytes that no context has. Escapes count the distinct successors (method C).
+contexts are sums of these, and none is cut. A byte is coded in its longest known context; a byte not
+seen there escapes to the next shorter context, in which all bytes seen above are excluded, down to an
+even choice among the bytes that no context has. Escapes count the distinct successors (method C).
+
+The trie is a table. Nodes of up to two predecessors are broadcast (256**3 at most); all longer ones that
+share their last three predecessors meet in one task, which scores every byte in context that occurs.
+The most frequent of these scores, of a fixed number, go to all workers; the others are looked up in a join.
 
 The base is a unigram word model with one added to each count. Its frequent words, of a fixed number,
 go to all workers; rarer words of a text are looked up in a join.
@@ -21,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, materialise, slices
+from .common import crc_remainder, materialise, release, slices
 from .hashing import KeyTable, Numbers
 
 ORDER = 5
-SHARE = 5e-7
 HEAD_WORDS = 1 << 20
+HEAD_CODES = 1 << 21
+PART = 1 << 19  # bytes in context that a task scores
 _EDGE = b"\xff"  # before, and as the end of, a text; no UTF-8 text holds it
 #: The end of a text as a token; no word is a space.
 _END = xxhash.xxh64_intdigest(b" ")
@@ -53,40 +56,52 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True)
+def _counted(parts: list[np.ndarray], learns: bool) -> tuple[np.ndarray, np.ndarray]:
+    codes, n = np.unique(np.concatenate(parts), return_counts=True)
+    return codes, n if learns else np.zeros(len(codes), np.int64)
+
+
+def _nodes(codes: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of order ``k`` that counts of longer codes add up to."""
+    short, place = np.unique(codes & _mask(k + 1), return_inverse=True)
+    return short, np.bincount(place, n, len(short))
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def corpus_counts(train: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(kind, key, n): counts of all words (kind 0, by 64-bit hash; ends of texts included) and of all bytes in context (kind 1)."""
+def corpus_counts(docs: DataFrame, trained: str, text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(kind, key, n): counts over the ``trained`` rows of all words (kind 0, by 64-bit hash; ends of texts included) and of all
+    bytes in context (kind 1). What occurs in other rows alone is there with a count of 0, if a byte in context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, _STEP):
-                raw = [_raw(t) for t in part.column(0).to_pylist()]
+                raw, learns = [_raw(t) for t in part.column(0).to_pylist()], part.column(1).to_pylist()
                 known, numbers = Numbers(), []
-                for r in raw:
-                    numbers.extend(map(known.__getitem__, r.lower().split()))
-                found = [(0, np.append(_word_hashes(list(known)), np.uint64(_END)), np.append(np.bincount(np.array(numbers, np.int64), minlength=len(known)), len(raw)))]
-                small: list[np.ndarray] = []
-                size = 0
-                for r in raw:
-                    for codes in coded(r, order):
-                        small.append(codes)
-                        size += len(codes)
-                        if size > _STEP:
-                            found.append((1, *_counted(small)))
-                            small, size = [], 0
-                if small:
-                    found.append((1, *_counted(small)))
+                for r, yes in zip(raw, learns, strict=True):
+                    if yes:
+                        numbers.extend(map(known.__getitem__, r.lower().split()))
+                found = []
+                if any(learns):
+                    found.append((0, np.append(_word_hashes(list(known)), np.uint64(_END)), np.append(np.bincount(np.array(numbers, np.int64), minlength=len(known)), sum(learns))))
+                for kind in (True, False):
+                    small: list[np.ndarray] = []
+                    size = 0
+                    for r, yes in zip(raw, learns, strict=True):
+                        for codes in coded(r, order) if yes == kind else ():
+                            small.append(codes)
+                            size += len(codes)
+                            if size > _STEP:
+                                found.append((1, *_counted(small, kind)))
+                                small, size = [], 0
+                    if small:
+                        found.append((1, *_counted(small, kind)))
                 for kind, keys, n in found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-    each = train.select(text_col).mapInArrow(run, "kind int, key long, n long")
+    each = docs.select(text_col, trained).mapInArrow(run, "kind int, key long, n long")
     return each.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -149,20 +164,32 @@ class Trie:
         return out
 
 
-def fit_trie(counts: DataFrame, order: int = ORDER, share: float = SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The kept nodes of each order, from counts over the whole corpus; at most 1 / share an order."""
-    grams = counts.where("kind = 1")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    by_order = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("code")) for k in range(order + 1)])).alias("x")
-    nodes = grams.select(by_order, "n").groupBy("x.k", "x.code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, share * total))
-    found = nodes.toArrow()
-    k, code, n = (np.asarray(found.column(i).combine_chunks()) for i in range(3))
-    return [(code[k == i].view(np.uint64), n[k == i]) for i in range(order + 1)]
+def code_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n, lp): the count and the log10 of the probability of every byte in context that occurs."""
+    grams = counts.where("kind = 1").select("key", "n")
+    near = min(3, order)  # orders below are broadcast
+    low = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * near)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    codes, n = np.asarray(low.column(0).combine_chunks()).view(np.uint64), np.asarray(low.column(1).combine_chunks())
+    shared = counts.sparkSession.sparkContext.broadcast([_nodes(codes, n, k) for k in range(near)])
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * near)) - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))) for b in batches]
+        if got:
+            codes, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            seen = n > 0
+            trie = Trie([*shared.value, *(_nodes(codes[seen], n[seen], k) for k in range(near, order + 1))])
+            for a in range(0, len(codes), _STEP):
+                part = codes[a : a + _STEP]
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n[a : a + _STEP]), pa.array(trie.log10(part))], ["key", "n", "lp"])
+        release()
+
+    return grams.repartition(-(-grams.count() // PART) or 1, context).mapInArrow(run, "key long, n long, lp double")
 
 
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2,
-    order: int = ORDER, share: float = SHARE, head_words: int = HEAD_WORDS,
+    order: int = ORDER, head_words: int = HEAD_WORDS, head_codes: int = HEAD_CODES,
 ) -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -172,17 +199,20 @@ def score_texts(
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("at"), docs[id_col].alias("id"), docs[text_col].alias("text"), crc_remainder(id_col, folds).alias("fold"))
-    counts = materialise(corpus_counts(rows.where(F.col("fold") != held), order=order))
+    counts = materialise(corpus_counts(rows.withColumn("trained", F.col("fold") != held), "trained", order=order))
     words = counts.where("kind = 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = _least_count(words, head_words)
     end_key = int(np.uint64(_END).view(np.int64))  # the end is no word of a text, so it is never looked up in the join
     head = words.where((F.col("n") >= least) | (F.col("key") == end_key)).select("key", "n").toArrow()
-    shared = spark.sparkContext.broadcast((fit_trie(counts, order, share), np.asarray(head.column(0).combine_chunks()).view(np.uint64), np.asarray(head.column(1).combine_chunks())))
+    model = materialise(code_scores(counts, order))
+    least_code = _least_count(model.where("n > 0"), head_codes)
+    near = model.where(F.col("n") >= least_code).select("key", "lp").toArrow()
+    shared = spark.sparkContext.broadcast(tuple(np.asarray(x.column(i).combine_chunks()) for x in (near, head) for i in (0, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, keys, times = shared.value
-        trie, table = Trie(nodes), KeyTable(keys)
+        codes, lp, keys, times = shared.value
+        known_codes, table = KeyTable(codes.view(np.uint64)), KeyTable(keys.view(np.uint64))
         logs = np.append(np.log10(times + 1.0), 0.0)
         end = int(table.find(np.array([_END], np.uint64))[0])
         for batch in batches:
@@ -203,26 +233,55 @@ def score_texts(
                 sums = np.bincount(doc, np.where(in_head, logs[at], 0.0), n_docs) + (logs[end] if end >= 0 else 0.0)
                 n_head = np.bincount(doc, in_head, n_docs).astype(np.int64) + (end >= 0)
                 tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, ~in_head, n_docs))]).astype(np.int32)), pa.array(hashes[number[~in_head]].view(np.int64)))
-                scores = [sum(float(trie.log10(c).sum()) for c in coded(r, order)) for r in raw] if max(map(len, raw)) > 1 << 16 else _scored(trie, raw, order)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.array(size, np.int64) + 1), pa.array(n_head), pa.array(sums), tail, pa.array(scores, pa.float64())], ["at", "id", "fold", "n_tokens", "n_head", "sums", "tail", "score"])
+                scores, rare_codes = _scored(known_codes, lp, raw, order)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.array(size, np.int64) + 1), pa.array(n_head), pa.array(sums), tail, pa.array(scores), rare_codes], ["at", "id", "fold", "n_tokens", "n_head", "sums", "tail", "score", "codes"])
+        release()
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = materialise(rows.mapInArrow(run, f"at long, id {kind}, fold long, n_tokens long, n_head long, sums double, tail array<long>, score double"))
+    scored = materialise(rows.mapInArrow(run, f"at long, id {kind}, fold long, n_tokens long, n_head long, sums double, tail array<long>, score double, codes array<struct<key:long,times:long>>"))
+    far = scored.where(F.size("codes") > 0).select("at", F.inline("codes")).join(model.where(F.col("n") < least_code).select("key", "lp"), "key")
+    far = far.groupBy("at").agg(F.sum(F.col("times") * F.col("lp")).alias("far"))
     rare = scored.where(F.size("tail") > 0).select("at", F.explode("tail").alias("key"))
     rare = rare.join(words.where(F.col("n") < least).select("key", "n"), "key")
     rare = rare.groupBy("at").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("rare_sums"), F.count(F.lit(1)).alias("n_rare"))
     base = F.col("sums") + F.coalesce("rare_sums", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return scored.join(rare, "at", "left").select(
+    return scored.join(rare, "at", "left").join(far, "at", "left").select(
         F.col("id").alias(id_col), (F.col("fold") == held).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )
 
 
-def _scored(trie: Trie, raw: list[bytes], order: int) -> list[float]:
-    """Scores of short texts, all in one pass."""
-    codes = [np.concatenate(list(coded(r, order))) for r in raw]
-    starts = np.concatenate([[0], np.cumsum([len(c) for c in codes])])[:-1]
-    return np.add.reduceat(trie.log10(np.concatenate(codes)), starts).tolist()
+def _scored(table: KeyTable, lp: np.ndarray, raw: list[bytes], order: int) -> tuple[np.ndarray, pa.Array]:
+    """By text: the sum over the codes in the table, and the others as a list of (key, times)."""
+    scores = np.zeros(len(raw))
+    rare: list[tuple[np.ndarray, np.ndarray]] = []  # number of the text, code
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def flush() -> None:
+        doc, codes = np.repeat([i for i, _ in held], [len(c) for _, c in held]), np.concatenate([c for _, c in held])
+        at = table.find(codes)
+        seen = at >= 0
+        np.add(scores, np.bincount(doc[seen], lp[at[seen]], len(raw)), out=scores)
+        rare.append((doc[~seen], codes[~seen]))
+
+    for i, r in enumerate(raw):
+        for codes in coded(r, order):
+            held.append((i, codes))
+            size += len(codes)
+            if size > _STEP:
+                flush()
+                held, size = [], 0
+    if held:
+        flush()
+    doc, codes = (np.concatenate([x[k] for x in rare]) for k in (0, 1))
+    by = np.lexsort((codes, doc))
+    doc, codes = doc[by], codes[by]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (codes[1:] != codes[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(doc)))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(raw)))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(codes[first].view(np.int64)), pa.array(times.astype(np.int64))], ["key", "times"])
+    return scores, pa.ListArray.from_arrays(pa.array(starts), pairs)
 
 
 def _least_count(words: DataFrame, most: int) -> int:

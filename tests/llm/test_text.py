@@ -297,6 +297,26 @@ def test_lm_scores_equal_brute_force(spark):
     assert ppm.score_texts(df.limit(0)).count() == 0
 
 
+def test_scores_of_a_large_corpus_keep_rare_contexts(spark):
+    filler, rare = "the same line again and again. " * 1000, "qzxjv kwqpz jxqvk"
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    seen, unseen = next(i for i in range(1000, 2000) if not held(i)), next(i for i in range(1000, 2000) if held(i))
+    rows = [(i, filler) for i in range(170)] + [(seen, rare), (unseen, rare)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t.encode() for i, t in rows if not held(i)]
+    assert sum(map(len, train)) > 4_000_000  # here a minimum of 5e-7 of the bytes cuts what occurs once
+    counts = brute_ppm([], ppm.ORDER)
+    for t, n in Counter(train).items():
+        for k, seen in enumerate(brute_ppm([t], ppm.ORDER)):
+            for context, after in seen.items():
+                for byte, m in after.items():
+                    counts[k].setdefault(context, Counter())[byte] += n * m
+    want = brute_score(counts, rare.encode(), ppm.ORDER)
+    for head in (1 << 21, 8):
+        got = [r.score for r in ppm.score_texts(df, head_codes=head).where("doc_id >= 1000").collect()]
+        assert len(got) == 2 and all(abs(x - want) < 1e-8 for x in got)
+
+
 def test_pruned_trie_is_a_distribution():
     rng = np.random.default_rng(3)
     text = bytes(rng.choice(np.frombuffer(b"aabcde ", np.uint8), 4000))
