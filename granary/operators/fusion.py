@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from granary.functions.boxes import cells, iou, overlap
 
 # Shares of a box inside a region, of one covered by others, and alignment costs.
 INSIDE, COVERED, LEAST_CONFIDENT = 0.5, 0.3, 0.5
 GAP, BONUS, MISMATCH = 0.65, 0.6, 0.45
+CELLS = 1 << 25  # of an alignment whose steps are kept at once
 BOX = ("x", "y", "w", "h")
 
 
@@ -134,42 +139,76 @@ def vote(predictions: DataFrame, strategy: str = "majority") -> DataFrame:
     raise ValueError(f"no strategy {strategy!r}")
 
 
-def align(boxes: DataFrame, chars: DataFrame) -> DataFrame:
+def _best_path(wide: list, pred: list, conf: list, chars: list, widths: list) -> list[tuple[int, int]]:
+    """The (box, character) pairs of the cheapest alignment, from the end. Costs go by diagonals; of a large table every
+    so many diagonals are kept, and the steps between two of them are found again on the way back."""
+    n, m = len(wide), len(chars)
+    first = lambda x: x.strip()[:1].lower() if isinstance(x, str) else ""
+    number: dict[str, int] = {"": 0}
+    seen, known = [first(x) for x in pred], [first(x) for x in chars]
+    p, c = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (seen, known))
+    bonus = np.array([BONUS * (LEAST_CONFIDENT if x is None or x != x else x) for x in conf])
+    wrong = np.array([MISMATCH if x.isalnum() else 0.0 for x in seen])
+    w, v = np.array(wide, float), np.array(widths, float)[::-1]
+    c = c[::-1]
+
+    def diagonal(d: int, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        low, high = max(1, d - m), min(n, d - 1)  # box i meets character d - i
+        i, j = slice(low - 1, high), slice(m - d + low, m - d + high + 1)
+        own = np.abs(w[i] - v[j])
+        own = np.where((p[i] > 0) & (p[i] == c[j]), own - bonus[i], own + wrong[i])
+        both, up, left = two[low - 1 : high] + own, one[low - 1 : high] + GAP, one[low : high + 1] + GAP
+        now = np.empty(n + 1)
+        now[low : high + 1] = np.minimum(np.minimum(both, up), left)
+        if d <= m:
+            now[0] = d * GAP
+        if d <= n:
+            now[d] = d * GAP
+        return now, low, np.where((both <= up) & (both <= left), 0, np.where(up <= left, 1, 2)).astype(np.int8)
+
+    block = n + m if n * m <= CELLS else math.isqrt(n + m) + 1
+    one = np.empty(n + 1)
+    one[0] = one[min(1, n)] = GAP
+    two = np.zeros(n + 1)
+    kept = []
+    for start in range(2, n + m + 1, block):
+        kept.append((start, two, one))
+        if start + block <= n + m:
+            for d in range(start, start + block):
+                two, one = one, diagonal(d, two, one)[0]
+    out, i, j = [], n, m
+    for start, two, one in reversed(kept):
+        steps = []
+        for d in range(start, min(start + block, i + j + 1)):
+            now, low, step = diagonal(d, two, one)
+            steps.append((low, step))
+            two, one = one, now
+        while i and j and i + j >= start:
+            low, step = steps[i + j - start]
+            way = step[i - low]
+            if way == 0:
+                out.append((i - 1, j - 1))
+            i, j = i - (way != 2), j - (way != 1)
+    return out
+
+
+def align(boxes: DataFrame, chars: DataFrame, line: tuple[str, ...] = ("line_id",)) -> DataFrame:
     """(line_id, box_ord, char_ord): the cheapest alignment of boxes (width_norm, pred_char, conf) with characters (width).
 
     Costs: a gap on either side, else the difference in width, less for a right prediction and more for a
-    wrong letter or digit. Of equal costs a match comes before a gap. One line is one task's work.
+    wrong letter or digit. Of equal costs a match comes before a gap. One line, that is one value of the
+    ``line`` columns, is one task's work, of any length.
     """
+    schema = StructType([*(boxes.schema[x] for x in line), StructField("box_ord", IntegerType()), StructField("char_ord", IntegerType())])
 
     def run(key: tuple, b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         b, c = b.sort_values("box_ord"), c.sort_values("char_ord")
-        wide, pred, conf = b["width_norm"].tolist(), b["pred_char"].tolist(), b["conf"].tolist()
-        chars_, widths = c["char"].tolist(), c["width"].tolist()
-        n, m = len(wide), len(chars_)
-        cost = [[j * GAP for j in range(m + 1)]] + [[(i + 1) * GAP] + [0.0] * m for i in range(n)]
-        step = [[""] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            p, sure = (pred[i - 1] or "").strip()[:1].lower() if isinstance(pred[i - 1], str) else "", conf[i - 1]
-            sure = LEAST_CONFIDENT if sure is None or sure != sure else sure
-            for j in range(1, m + 1):
-                own = abs(wide[i - 1] - widths[j - 1])
-                if p and p == chars_[j - 1].strip()[:1].lower():
-                    own -= BONUS * sure
-                elif p.isalnum():
-                    own += MISMATCH
-                cost[i][j], step[i][j] = min(((cost[i - 1][j - 1] + own, 0), (cost[i - 1][j] + GAP, 1), (cost[i][j - 1] + GAP, 2)))
-        out, i, j = [], n, m
-        while i and j:
-            if step[i][j] == 0:
-                out.append((key[0], int(b["box_ord"].iloc[i - 1]), int(c["char_ord"].iloc[j - 1])))
-                i, j = i - 1, j - 1
-            elif step[i][j] == 1:
-                i -= 1
-            else:
-                j -= 1
-        return pd.DataFrame(out, columns=["line_id", "box_ord", "char_ord"])
+        path = _best_path(b["width_norm"].tolist(), b["pred_char"].tolist(), b["conf"].tolist(), c["char"].tolist(), c["width"].tolist()) if len(b) and len(c) else []
+        out = pd.DataFrame({name: [value] * len(path) for name, value in zip(line, key, strict=True)})
+        out["box_ord"], out["char_ord"] = (b["box_ord"].to_numpy()[[x for x, _ in path]], c["char_ord"].to_numpy()[[x for _, x in path]]) if path else ([], [])
+        return out
 
-    return boxes.groupBy("line_id").cogroup(chars.groupBy("line_id")).applyInPandas(run, "line_id long, box_ord int, char_ord int")
+    return boxes.groupBy(*line).cogroup(chars.groupBy(*line)).applyInPandas(run, schema)
 
 
 def evaluation(matches: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """Operators on small literal inputs with known results."""
 
 import json
+import random
+from collections import Counter
 
+import granary.plans  # noqa: F401
 import pytest
 from granary.functions import grades, tolerant
 from granary.functions import text as tx
 from granary.functions.boxes import iou
 from granary.operators import blocks, fingerprints, fusion, integrity, layout, ledger, ranking, records, store, structure, study
+from granary.registry import QUERIES
 from granary.sources import files, sinks
 from granary.streaming import telemetry
 from pyspark.sql import functions as F
@@ -171,6 +175,49 @@ def test_alignment(spark):
     assert fusion.align(spark.createDataFrame([], box), chars).count() == 0
 
 
+def brute_alignment(wide, pred, conf, chars, widths):
+    cost, step = {(0, 0): 0.0}, {}
+    for i in range(len(wide) + 1):
+        for j in range(len(chars) + 1):
+            if not i or not j:
+                cost[i, j] = (i + j) * fusion.GAP
+                continue
+            own, p = abs(wide[i - 1] - widths[j - 1]), pred[i - 1].strip()[:1].lower()
+            if p and p == chars[j - 1].strip()[:1].lower():
+                own -= fusion.BONUS * conf[i - 1]
+            elif p.isalnum():
+                own += fusion.MISMATCH
+            cost[i, j], step[i, j] = min((cost[i - 1, j - 1] + own, 0), (cost[i - 1, j] + fusion.GAP, 1), (cost[i, j - 1] + fusion.GAP, 2))
+    out, i, j = [], len(wide), len(chars)
+    while i and j:
+        way = step[i, j]
+        if way == 0:
+            out.append((i - 1, j - 1))
+        i, j = i - (way != 2), j - (way != 1)
+    return out
+
+
+@pytest.mark.parametrize("cells", [1 << 25, 0])
+def test_paths_equal_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(fusion, "CELLS", cells)
+    rng = random.Random(3)
+    for n, m in [(1, 1), (1, 7), (9, 2), (30, 41), (55, 50), (80, 3)] * 5:
+        pred, chars = rng.choices("abB -é", k=n), rng.choices("abcB é", k=m)
+        line = (rng.choices([0.5, 1.0, 1.4], k=n), pred, rng.choices([0.8, 0.3], k=n), chars, rng.choices([0.5, 1.0, 1.4], k=m))
+        assert fusion._best_path(*line) == brute_alignment(*line)
+
+
+def test_alignment_query_reads_all_turns_and_whole_texts(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(1, 0, text), (1, 3, text), (2, 1, "abc"), (2, 1, "abc"), (3, 0, None), (None, None, "abc")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = Counter(map(tuple, QUERIES["nw_align"].run(spark, str(tmp_path)).collect()))
+    seen = [(i, i) for i, c in enumerate(text) if c != " " and i % 9 != 4]
+    want = Counter((1, turn, *p) for turn in (0, 3) for p in seen)
+    want.update([(2, 1, i, i) for i in range(3)] * 2 + [(None, None, i, i) for i in range(3)])
+    assert got == want
+
+
 def prints(spark, rows):
     return spark.createDataFrame(rows, "id long, key string, bits string")
 
