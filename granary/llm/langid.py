@@ -3,7 +3,9 @@
 Features are hashed 1- to 3-grams of the lower-cased text, weighted by term frequency and inverse
 document frequency and scaled to length one. Document frequencies come from all training documents.
 The regression is fitted by follow-the-regularised-leader with elastic-net penalties on a sample of at
-most ``sample`` training documents (the lowest hashes), of which a fifth sets the temperature.
+most ``sample`` distinct training texts (the lowest hashes), of which a fifth sets the temperature. The
+sample is shared out by language: each one gives its even share or all it has, and what small ones
+leave goes to the others.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, crc_remainder
@@ -78,11 +80,32 @@ def bounded_sample(rows: DataFrame, order: Column, most: int) -> DataFrame:
     return rows.where(order <= F.lit(cut)) if cut is not None else rows.limit(0)
 
 
+def shares(found: dict[str, int], most: int) -> dict[str, int]:
+    """How many of ``most`` each language gets, the smaller first: an even part of what is left, one at least."""
+    out, left = {}, most
+    for i, (lang, n) in enumerate(sorted(found.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(found) - i)))
+        left -= out[lang]
+    return out
+
+
+def shared_sample(rows: DataFrame, most: int) -> DataFrame:
+    """Distinct (text, lang), of each language those with the lowest hashes."""
+    hashes = rows.select("lang", F.xxhash64("text", "lang").alias("h")).distinct()
+    first = hashes.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= most)
+    part = shares({r["lang"]: r["n"] for r in first.groupBy("lang").agg(F.max("place").alias("n")).collect()}, most)
+    if not part:
+        return rows.limit(0)
+    of = lambda x: F.try_element_at(F.create_map(*[F.lit(y) for kv in x.items() for y in kv]), F.col("lang"))
+    cuts = {r["lang"]: r["h"] for r in first.where(F.col("place") == of(part)).collect()}
+    return rows.where(F.xxhash64("text", "lang") <= of(cuts)).dropDuplicates(["text", "lang"])
+
+
 def fit(train: DataFrame, sample: int = SAMPLE, rounds: int = 4) -> dict:
     """A model from rows (text, lang): idf, weights by language, and the temperature. Without rows it knows no language."""
     df, n = _document_frequencies(train)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    chosen = bounded_sample(train.where("text IS NOT NULL"), F.xxhash64("text", "lang"), sample).dropDuplicates(["text", "lang"])
+    chosen = shared_sample(train.where("text IS NOT NULL"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +115,9 @@ def fit(train: DataFrame, sample: int = SAMPLE, rounds: int = 4) -> dict:
             yield pa.RecordBatch.from_arrays([langs, pa.array([a.tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for a, c in zip(at, found, strict=True)], pa.binary())], ["lang", "at", "n"])
 
     rows = sorted(chosen.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect(), key=lambda r: (hash_bytes(r["at"], r["n"]), r["lang"]))
-    langs = sorted({r["lang"] for r in rows})
+    ahead = {r["lang"]: i for i, r in reversed(list(enumerate(rows)))}  # one row of each language is never held out
+    rows = [r for i, r in enumerate(rows) if ahead[r["lang"]] != i] + [rows[i] for i in sorted(ahead.values())]
+    langs = sorted(ahead)
     place = {x: i for i, x in enumerate(langs)}
     examples = []
     for r in rows:
@@ -102,7 +127,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, rounds: int = 4) -> dict:
     classes = np.array([place[r["lang"]] for r in rows], np.int64)
     if not langs:
         return {"langs": [], "idf": idf, "weights": np.zeros(((1 << BITS) + 1, 0)), "temperature": 1.0}
-    held = len(rows) // 5
+    held = min(len(rows) // 5, len(rows) - len(langs))
     model = Ftrl(1 << BITS, len(langs), alpha=1.0, l1=0.02, l2=0.02).fit(examples[held:], classes[held:], rounds)
     weights = model.weights()
     return {"langs": langs, "idf": idf, "weights": weights, "temperature": temperature(logits(weights, examples[:held]), classes[:held])}

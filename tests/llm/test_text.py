@@ -162,6 +162,21 @@ def test_held_out_labels_do_not_matter(spark):
     assert by_key(map(tuple, langid.language_id(df).collect())) == by_key(map(tuple, langid.language_id(other).collect()))
 
 
+def test_copies_leave_room_for_every_language(spark):
+    rows = [(f"{t} {i}", k) for i, (t, k) in enumerate(phrases(4, 300))] + [("texto muy raro aquí mismo", "es")]
+    hashes = spark.createDataFrame(rows, "text string, lang string").selectExpr("text", "lang", "xxhash64(text, lang) AS h").orderBy("h").collect()
+    train = spark.createDataFrame(rows + [tuple(hashes[0])[:2]] * 200, "text string, lang string")
+    chosen = langid.shared_sample(train, 60).collect()
+    want = {k: [r.text for r in hashes if r.lang == k][:n] for k, n in {"es": 1, "fr": 19, "de": 20, "en": 20}.items()}
+    assert {k: sorted(r.text for r in chosen if r.lang == k) for k in want} == {k: sorted(v) for k, v in want.items()}
+    model = langid.fit(train, 60)
+    assert model["langs"] == ["de", "en", "es", "fr"]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(phrases(9, 100))], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert sum(got[i] == k for i, (_, k) in enumerate(phrases(9, 100))) >= 90
+    assert langid.shares({"a": 2, "b": 500, "c": 900}, 100) == {"a": 2, "b": 49, "c": 49}
+
+
 def test_gram_counts_over_parts(monkeypatch):
     text = "abc déf " * 40
     whole = langid.gram_counts(text)
