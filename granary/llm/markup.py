@@ -3,13 +3,15 @@
 A tree builder with implied end tags reads any markup; visibility rules leave out what a reader would not
 see; a renderer lays the rest out as text: blocks on lines of their own with the blank lines of their
 margins, list markers and indents, preformatted text as it is, and table cells aligned in columns.
-Work on a page is in proportion to its size: elements nest at most ``DEPTH`` deep (deeper ones become
-siblings) and cells are padded to at most ``WIDEST`` characters.
+Elements nest as deep as they come. Work on a page is in proportion to its size: from ``DEPTH`` levels on
+lists, tables and quotes are not indented or aligned (visible text stays, blocks keep lines of their own),
+and cells are padded to at most ``WIDEST`` characters.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,6 +49,7 @@ _IMPLIED = {
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
+_GROUPS = ("thead", "tbody", "tfoot")
 _P_SCOPE = {"table", "td", "th", "caption", "button", "object", "html"}
 _CELL_SCOPE = {"table", "td", "th", "caption"}
 _HEAD_ONLY = frozenset("title meta link base script style template noscript noframes".split())
@@ -68,26 +71,47 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _needed(inside: str, tag: str) -> tuple[str, ...]:
+    """The table parts that a start tag implies."""
+    if tag in ("td", "th"):
+        return ("tbody", "tr") if inside == "table" else ("tr",) if inside in _GROUPS else ()
+    return ("tbody",) if tag == "tr" and inside == "table" else ()
+
+
 def parse(html: str) -> Node:
     """The element tree; text nodes are strings with character references resolved."""
     root = Node("html")
-    stack = [root]
+    stack, born = [root], [0]  # open elements, and a number that grows with each
+    where: dict[str, list[int]] = {}  # by tag, and under "" for all blocks: the numbers of the open ones
+
+    def push(node: Node) -> None:
+        born.append(born[-1] + 1)
+        stack.append(node)
+        for k in (node.tag, "") if node.tag in BLOCK else (node.tag,):
+            where.setdefault(k, []).append(born[-1])
+
+    def cut(i: int) -> None:
+        for n in stack[i:]:
+            where[n.tag].pop()
+            if n.tag in BLOCK:
+                where[""].pop()
+        del stack[i:], born[i:]
 
     def close(tags: set[str] | frozenset[str], scope: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                if stack[i].tag in BLOCK or not any(n.tag in BLOCK for n in stack[i:]):
-                    del stack[i:]
-                else:  # the end of an inline element ends no block inside it
-                    del stack[i]
-                return
-            if stack[i].tag in scope:
-                return
+        last = max((where[t][-1] for t in tags if where.get(t)), default=0)
+        if not last or any(where.get(t) and where[t][-1] > last for t in scope):
+            return
+        i = bisect_left(born, last)
+        if stack[i].tag in BLOCK or not where.get("") or where[""][-1] < last:
+            cut(i)
+        else:  # the end of an inline element ends no block inside it
+            where[stack[i].tag].pop()
+            del stack[i], born[i]
 
     def text(data: str) -> None:
         if data:
             if stack[-1].tag == "head" and not data.isspace():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(unescape(data) if "&" in data else data)
 
     at = 0
@@ -109,13 +133,16 @@ def parse(html: str) -> Node:
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in _HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in _ENDS_P:
             close({"p"}, _P_SCOPE)
         if tag in _IMPLIED:
             close(*_IMPLIED[tag])
             if tag == "tr" or tag in ("thead", "tbody", "tfoot"):
                 close({"td", "th"}, {"table", "tr"})
+        for needed in _needed(stack[-1].tag, tag):
+            stack[-1].children.append(Node(needed))
+            push(stack[-1].children[-1])
         node = Node(tag, _attributes(m["attrs"]))
         stack[-1].children.append(node)
         if tag in RAW or tag in RCDATA:
@@ -123,8 +150,8 @@ def parse(html: str) -> Node:
             content = html[at : end.start() if end else len(html)]
             node.children.append(unescape(content) if tag in RCDATA else content)
             at = len(html) if end is None else (html.find(">", end.end()) + 1 or len(html))
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not (tag == "form" and stack[-1].tag in ("table", "tr", *_GROUPS)):  # a form between cells holds nothing
+            push(node)
     text(html[at:])
     return root
 
@@ -218,15 +245,25 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield from _rows(c)
 
 
+def _stray(node: Node) -> Iterator[Node | str]:
+    for c in node.children:
+        if isinstance(c, str):
+            if c.strip():
+                yield c
+        elif c.tag in (*_GROUPS, "tr") and node.tag != "tr":
+            if visible(c, node):
+                yield from _stray(c)
+        elif c.tag not in ("td", "th", "col", "colgroup"):
+            yield c
+
+
 def _table(node: Node, page: _Page, depth: int) -> None:
-    loose = Node("div")  # text and elements between the rows come before the table, as browsers lay them out
-    loose.children = [c for part in [node, *[g for g in node.children if not isinstance(g, str) and g.tag in ("thead", "tbody", "tfoot", "tr") and visible(g)]] for c in part.children if (c.strip() if isinstance(c, str) else c.tag not in ("thead", "tbody", "tfoot", "tr", "td", "th", "col", "colgroup"))]
+    loose = Node("div")  # text and elements between the cells come before the table, as browsers lay them out
+    loose.children = list(_stray(node))
     page.add(_lines(loose, depth + 1)) if loose.children else None
     grid: list[list[tuple[int, int, list[str]]]] = []
     held: dict[int, int] = {}  # column: rows that a cell above still fills
-    direct = Node("tr")
-    direct.children = [c for c in node.children if not isinstance(c, str) and c.tag in ("td", "th")]
-    for row in [*_rows(node), *([direct] if direct.children else [])]:
+    for row in _rows(node):
         cells, column, new = [], 0, {}
         for c in row.children:
             if isinstance(c, str) or c.tag not in ("td", "th") or not visible(c, row):
@@ -259,7 +296,46 @@ def _table(node: Node, page: _Page, depth: int) -> None:
             page.add([line.rstrip()])
 
 
+def _kept(node: Node, page: _Page) -> None:
+    """Text as it is."""
+    page.gap(1 if node.tag != "textarea" else 0)
+    raw = _plain(node).replace("\r\n", "\n").replace("\r", "\n").replace("\xa0", " ")
+    page.add(raw.removeprefix("\n").rstrip("\n").split("\n") if raw.strip() else [])
+    page.gap(1 if node.tag != "textarea" else 0)
+
+
+def _flat(node: Node, page: _Page) -> None:
+    """What lies too deep for a layout: its visible text, blocks on lines of their own."""
+    todo = [(node, iter(node.children))]
+    while todo:
+        parent, rest = todo[-1]
+        c = next(rest, None)
+        if c is None:
+            todo.pop()
+            if todo and parent.tag in BLOCK:
+                page.gap(0)
+            elif todo and parent.tag == "q":
+                page.inline('"')
+        elif isinstance(c, str):
+            if parent.tag != "details" or "open" in parent.attrs:
+                page.inline(c)
+        elif visible(c, parent):
+            if c.tag == "br":
+                page.end_line(keep_empty=True)
+            elif c.tag in ("pre", "textarea", "xmp"):
+                _kept(c, page)
+            else:
+                if c.tag in BLOCK or c.tag == "hr":
+                    page.gap(0)
+                elif c.tag == "q":
+                    page.inline('"')
+                todo.append((c, iter(c.children)))
+
+
 def _render(node: Node, page: _Page, depth: int) -> None:
+    if depth >= DEPTH:
+        _flat(node, page)
+        return
     for c in node.children:
         if isinstance(c, str):
             if node.tag != "details" or "open" in node.attrs:
@@ -273,10 +349,7 @@ def _render(node: Node, page: _Page, depth: int) -> None:
         elif tag == "wbr":
             continue
         elif tag in ("pre", "textarea", "xmp"):
-            page.gap(1 if tag != "textarea" else 0)
-            raw = _plain(c).replace("\r\n", "\n").replace("\r", "\n").replace("\xa0", " ")
-            page.add(raw.removeprefix("\n").rstrip("\n").split("\n") if raw.strip() else [])
-            page.gap(1 if tag != "textarea" else 0)
+            _kept(c, page)
         elif tag == "hr":
             page.gap(1)
         elif tag in BLOCK:
@@ -304,7 +377,16 @@ def _render(node: Node, page: _Page, depth: int) -> None:
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) if visible(c, node) else "" for c in node.children)
+    out, todo = [], [(node, c) for c in reversed(node.children)]
+    while todo:
+        parent, c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag == "br":
+            out.append("\n")
+        elif visible(c, parent):
+            todo.extend((c, x) for x in reversed(c.children))
+    return "".join(out)
 
 
 def render(html: str | None) -> str | None:

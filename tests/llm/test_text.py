@@ -372,6 +372,22 @@ def test_rendering(html, text):
     assert markup.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><thead><th>A<th>B</thead><tr><td>1<td>2</table>", "A  B\n1  2"), ("<table><tbody><tr><form><td>x<td>y</form></table>", "x  y"), ("<table><td>a<td>b</table>", "a  b"),
+        ("<table><tbody><tr><b>v</b><td>c</table>", "v\nc"), ("<table><tbody>u<tr><td>c</table>", "u\nc"), ("<div>" * 300 + "a<p hidden>no</p>b<div style='display:none'>no<div>no</div>no</div>" + "</div>" * 300 + "c", "ab\nc"),
+        ("<div>" * 200 + "<section><div>x</div>y</section>z", "x\ny\nz"), ("<b>o" + "<div>" * 200 + "<b>i</b>j" + "</div>" * 200 + "</b>k", "o\nij\nk"), ("<pre>" + "<i>" * 5000 + "x", "x"),
+    ],
+)
+def test_stray_table_content_and_depth(html, text):
+    assert markup.render(html) == text
+
+
+def test_deep_markup_takes_time_in_proportion():
+    assert markup.render("<p><button>" + "<div>" * 100_000 + "x" + "</div>" * 100_000) == "x"
+
+
 def test_all_visible_words_come_out_in_order(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
     got = {r.page_id: r.text for r in markup.extract_text(df).collect()}
