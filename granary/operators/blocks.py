@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 ROUTES = {"pdf": ("pdf",), "docx": ("docx",), "unsupported": ("doc",), "image": ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")}
 PAGE_CHARS, TEXT_SHARE, SCAN_SHARE, PAGE_WORDS = 50, 0.80, 1.0 - 0.80, 20
 HEADING, AHEAD = 120, 4
+BLOCK_TAGS = "h[1-6]|p|li|ul|ol|dl|dt|dd|div|table|thead|tbody|tfoot|tr|td|th|caption|pre|blockquote|hr|figure|figcaption|section|article|aside|header|footer|main|nav|form|fieldset|address|details|summary|body|html|script|style"
 
 
 def route(path: Column) -> Column:
@@ -40,12 +41,14 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 
 def markup_blocks(pages: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, level, text) of the headings, paragraphs and list items of simple markup."""
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h[1-6]|p|li)(?:\s[^>]*)?>[^<]*"), 0)
+    """(doc_id, pos, kind, level, text) of the headings, paragraphs and list items of simple markup. A block's
+    text goes to its end tag or the next block tag, without inline tags; a line break is a space."""
+    found = F.regexp_extract_all("html", F.lit(rf"(?s)<(?:h[1-6]|p|li)(?:\s[^>]*)?>.*?(?=(?i:</?(?:{BLOCK_TAGS})(?=[\s/>]))|\z)"), 0)
     rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("pos", "raw"))
     tag = F.regexp_extract("raw", r"^<(h[1-6]|p|li)", 1)
+    text = F.regexp_replace(F.regexp_replace("raw", r"(?i)<br(?=[\s/>])[^>]*>", " "), r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>", "")
     kind = F.when(tag.startswith("h"), "heading").when(tag == "li", "list_item").otherwise("paragraph")
-    return rows.select("doc_id", "pos", kind.alias("kind"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).otherwise(0).alias("level"), F.trim(F.regexp_replace("raw", "^<[^>]*>", "")).alias("text"))
+    return rows.select("doc_id", "pos", kind.alias("kind"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).otherwise(0).alias("level"), F.trim(text).alias("text"))
 
 
 def heading_answers(blocks: DataFrame) -> DataFrame:

@@ -129,6 +129,17 @@ def test_blocks(spark):
     assert sorted((r.heading, r.answer) for r in got) == [("H", "p"), ("J", "q")]
 
 
+def test_markup_blocks_keep_inline_text(spark):
+    html = "<h2 id=a>One <i>two</i></h2><p><b>For</b> more<br>here <a href='x'>now</a>.</p>tail<ul><li><a>x</a><li>y <em>z</em></ul>rest<p>" + "long <b>w</b> " * 20000 + "<div>out</div>"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>1 < 2 <!-- <b>no --> <code>k</code>")], "page_id long, html string")
+    got = [tuple(r) for r in blocks.markup_blocks(pages).orderBy("doc_id", "pos").collect()]
+    assert got == [
+        (1, 0, "heading", 2, "One two"), (1, 1, "paragraph", 0, "For more here now."), (1, 2, "list_item", 0, "x"), (1, 3, "list_item", 0, "y z"), (1, 4, "paragraph", 0, ("long w " * 20000).strip()),
+        (3, 0, "paragraph", 0, "1 < 2  k"),
+    ]
+    assert [tuple(r)[2:] for r in blocks.heading_answers(blocks.markup_blocks(pages)).collect()] == [("One two", "For more here now.")]
+
+
 def test_boxes(spark):
     v = spark.createDataFrame([(0, 0, 10, 10, 5, 5, 10, 10), (0, 0, 10, 10, 0, 0, 10, 10), (0, 0, 1, 1, 9, 9, 1, 1)], "a int, b int, c int, d int, e int, f int, g int, h int")
     assert [r[0] for r in v.select(iou(*map(F.col, "abcdefgh"))).collect()] == [25 / 175, 1.0, 0.0]
