@@ -223,12 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one row of each component: the row with its least id (of repeated ids, one row).
+    """``docs`` with exactly one row of each component: a row with its least id, or with a null id if all are null.
 
-    A component whose ids are all null keeps one row. All columns stay.
+    Rows are told apart by a marker, so repeated and null ids in different components all keep theirs. All columns stay.
     """
-    key, least = fresh(docs, "_key"), fresh(docs, "_least")
-    found = near_duplicates(docs, id_col, text_col, limit).select(F.col(id_col).alias(key), F.col("component_id").alias(least))
-    keep = materialise(found.where(F.col(key).eqNullSafe(F.col(least))).groupBy(key).agg(F.count(F.lit(1)).alias(least)))
-    kept = docs.join(keep.select(key), docs[id_col].eqNullSafe(keep[key]), "left_semi")
-    return kept.dropDuplicates([id_col]) if keep.where(F.col(least) > 1).take(1) else kept
+    mark, key = fresh(docs, "_mark"), fresh(docs, "_key")
+    marked = materialise(docs.withColumn(mark, F.monotonically_increasing_id()))
+    keyed = marked.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(mark).alias("mark")).alias(key), text_col)
+    found = near_duplicates(keyed, key, text_col, limit)
+    keep = materialise(found.select(F.col("component_id")["mark"].alias(mark)).distinct())
+    return marked.join(keep, mark, "left_semi").select(*docs.columns)

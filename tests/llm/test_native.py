@@ -155,6 +155,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_dropping_goes_by_row(spark):
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=80))
+    rows = [(1, text(0), "a"), (1, text(1), "b"), (None, text(2), "c"), (None, text(3), "d"), (2, text(3), "e"), (None, text(4), "f"), (None, text(4), "f"), (5, text(5), "g"), (5, text(5), "g"), (6, text(5), "h"), (5, text(6), "i")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
+    assert sorted(r.x for r in kept) == ["a", "b", "c", "e", "f", "g", "i"]
+    assert [r.doc_id for r in kept if r.x == "e"] == [2]
+
+
 def test_chains_join_over_many_tasks(spark):
     rng = np.random.default_rng(2)
     chain, at = [], 0
