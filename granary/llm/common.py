@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: shared-folder tables, row splits and bounded text blocks."""
+"""Helpers that the corpus operators share: shared-folder tables, row splits and bounded parts of batches."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define a word boundary.
 SPACE = r"[\x20\x09-\x0D]+"
+#: 64-bit words of the bitmap of row markers.
+_WORDS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,19 +68,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def blocks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges (from, to) of ``texts`` of about ``limit`` characters; a longer text is a range of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def slices(batch: pa.RecordBatch, at: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text in column ``at``; a longer text is a part of its own.
     No text becomes a Python object before its part's turn."""
@@ -99,3 +88,25 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def _bitmap(rows: DataFrame, marks: DataFrame, mark: str, hit: str) -> DataFrame:
+    """``rows`` with whether their mark may be among ``marks``, from a broadcast bitmap of 2**25 bits; certain if false."""
+    word, bit = F.pmod(F.xxhash64(F.shiftright(mark, 6)), F.lit(_WORDS)).cast("int"), F.expr(f"shiftleft(1L, cast(`{mark}` & 63 AS int))")
+    words = marks.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))  # _WORDS rows at most
+    found = rows.withColumn("_at", word).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    return found.withColumn(hit, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_at", "_word", "_bits")
+
+
+def with_marks(rows: DataFrame, marks: DataFrame, mark: str) -> DataFrame:
+    """The rows whose mark is among ``marks``; only rows that the bitmap lets through are shuffled."""
+    hit = fresh(rows, "_hit")
+    return _bitmap(rows, marks, mark, hit).where(hit).drop(hit).hint("merge").join(marks.hint("merge"), mark, "left_semi")
+
+
+def without_marks(rows: DataFrame, marks: DataFrame, mark: str) -> DataFrame:
+    """The rows whose mark is not among ``marks``; only rows that the bitmap lets through are shuffled."""
+    hit = fresh(rows, "_hit")
+    tested = _bitmap(rows, marks, mark, hit)
+    maybe = tested.where(hit).drop(hit).hint("merge").join(marks.hint("merge"), mark, "left_anti")
+    return tested.where(~F.col(hit)).drop(hit).unionByName(maybe)
