@@ -6,8 +6,9 @@ its aligned blocks alone: their hashes are looked up in the hash set of all k-gr
 Around the few hits the windows themselves are looked up by hash and then compared word by word. A
 closing sentinel block makes every document come out of the lookups, so neither a second scan nor a
 join back is needed; only sentinels and hits are shuffled. The hash sets are broadcast while the
-benchmark has at most ``broadcast_windows`` windows (10 words, so about 400 bytes each); beyond that
-the same lookups run as shuffled joins.
+benchmark has at most ``broadcast_windows`` windows (10 words, so about 400 bytes each). Beyond that
+the same lookups run as shuffled joins, of blocks' hashes and places first, then of the windows around the
+hits; no document's words travel with either.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, with_marks
 
 WINDOW = 10
 _SENTINEL = 0
@@ -63,9 +64,9 @@ def find_contamination(
     k = F.floor((F.col("len") + 1) / 2).cast("int")
     parts = windows.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - k + 1), lambda i: F.xxhash64("len", F.slice("gram", i, k)))).alias("b"))
     end = spark.range(1).select(F.lit(_SENTINEL).cast("long").alias("h"), F.lit(0).alias("len"), no_words.alias("gram"), F.array().cast(windows.schema["items"].dataType).alias("items"))
-    parts, table = parts.union(end.select("h")).distinct(), windows.unionByName(end)
-    if sum(known.values()) <= broadcast_windows:
-        parts, table = F.broadcast(parts), F.broadcast(table)
+    shuffled = sum(known.values()) > broadcast_windows
+    table = windows if shuffled else F.broadcast(windows.unionByName(end))
+    parts = parts.distinct() if shuffled else F.broadcast(parts.union(end.select("h")).distinct())
 
     def hashes(n: int) -> Column:
         blocks = F.sequence(F.lit(0), F.floor(F.col("_n") / block[n]).cast("int") - 1)
@@ -73,10 +74,14 @@ def find_contamination(
 
     kept_struct = F.struct(docs[id_col].alias("id"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), kept_struct.alias("_kept"), norm_words(docs[text_col]).alias("_w"))
+    if shuffled:
+        rows = materialise(rows)
     rows = rows.withColumn("_n", F.size("_w"))
-    rows = rows.select("_row", "_kept", "_w", "_n", F.concat(*map(hashes, lengths), F.array(F.lit(_SENTINEL).cast("long"))).alias("_b"))
-    # The outer form keeps the optimizer from computing the hashes a second time to filter empty arrays; there are none.
-    near = rows.select("_row", "_kept", "_w", "_n", F.posexplode_outer("_b").alias("_pos", "b")).join(parts, "b", "left_semi")
+    carried = ["_row", "_n"] if shuffled else ["_row", "_kept", "_w", "_n"]
+    last_block = [] if shuffled else [F.array(F.lit(_SENTINEL).cast("long"))]
+    blocks = rows.select(*carried, F.concat(no_longs, *map(hashes, lengths), *last_block).alias("_b"))
+    # The outer form keeps the optimizer from computing the hashes a second time to filter empty arrays; with sentinels there are none.
+    near = blocks.select(*carried, F.posexplode_outer("_b").alias("_pos", "b")).join(parts, "b", "left_semi")
     # Which length a block is for, and its number: its place in the array less the places of longer windows' blocks.
     length, number, before = F.lit(0), F.lit(0), F.lit(0)
     for n in lengths:
@@ -84,29 +89,38 @@ def find_contamination(
         here = (F.col("_pos") >= before) & (F.col("_pos") < before + count)
         length, number = F.when(here, n).otherwise(length), F.when(here, (F.col("_pos") - before) * block[n]).otherwise(number)
         before = before + count
-    near = near.select("_row", "_kept", "_w", "_n", length.alias("_len"), number.alias("_block"))
+    near = near.select(*carried, length.alias("_len"), number.alias("_block"))
     size_of_block = F.floor((F.col("_len") + 1) / 2).cast("int")
     first = F.greatest(F.col("_block") + size_of_block - F.col("_len"), F.lit(0))
     last = F.least(F.col("_block"), F.col("_n") - F.col("_len"))
     around = near.withColumn("_at", F.explode_outer(F.when(F.col("_len") == 0, F.array(F.lit(0))).when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
     gram = F.slice("_w", F.col("_at") + 1, F.col("_len"))
-    around = around.withColumn("h", F.when(F.col("_len") == 0, F.lit(_SENTINEL).cast("long")).when(F.col("_at").isNotNull(), F.xxhash64(gram)))
-    hit = around.join(table, "h").where((F.col("len") == F.col("_len")) & (gram == F.col("gram")))
-    real = F.col("len") > 0
-    slim = hit.select(  # what is kept of the document travels with its sentinel alone
-        "_row", F.when(~real, F.struct("_kept", "_n")).alias("_doc"),
-        F.when(real, F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("len")).alias("end"))).alias("_hit"), F.when(real, F.col("items")).alias("_found"),
-    )
-    per_doc = slim.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.array_sort(F.collect_set("_hit")).alias("hits"), F.flatten(F.collect_set("_found")).alias("_items"))
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["e"], x["end"]).alias("e"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["e"], x["start"]))).alias("n")),
     )["n"]
-    return per_doc.select(
+    result = [
         F.col("_doc._kept.id").alias(id_col), *[F.col(f"_doc._kept.k{i}").alias(c) for i, c in enumerate(keep)],
         F.col("_doc._n").cast("long").alias("n_words"), "hits", covered.alias("n_hit"),
         F.array_sort(F.transform(F.array_distinct("_items"), lambda x: x.cast("string"))).alias("items"),
+    ]
+    if shuffled:
+        around = materialise(around.where(F.col("_at").isNotNull()).groupBy("_row").agg(F.collect_set(F.struct("_len", "_at")).alias("_places")))
+        grams = with_marks(rows.select("_row", "_w"), around.select("_row"), "_row").join(around.hint("merge"), "_row").select("_row", "_w", F.inline("_places")).select("_row", "_at", gram.alias("gram"))
+        hit = grams.withColumn("h", F.xxhash64("gram")).join(table, ["h", "gram"])
+        hit = hit.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("len")).alias("end")))).alias("hits"), F.flatten(F.collect_set("items")).alias("_items"))
+        whole = rows.select("_row", F.struct("_kept", "_n").alias("_doc")).join(hit, "_row", "left")
+        none = F.array().cast(hit.schema["hits"].dataType), F.array().cast(hit.schema["_items"].dataType)
+        return whole.select("_doc", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("_items", none[1]).alias("_items")).select(*result)
+    around = around.withColumn("h", F.when(F.col("_len") == 0, F.lit(_SENTINEL).cast("long")).when(F.col("_at").isNotNull(), F.xxhash64(gram)))
+    hit = around.join(table, "h").where((F.col("len") == F.col("_len")) & (gram == F.col("gram")))
+    real = F.col("len") > 0
+    slim = hit.select(  # what is kept of the document travels with its sentinel alone
+        "_row", F.when(~real, F.struct("_kept", "_n")).alias("_doc"),
+        F.when(real, F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("len")).alias("end"))).alias("_hit"), F.when(real, F.col("items")).alias("_found"),
     )
+    per_doc = slim.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.array_sort(F.collect_set("_hit")).alias("hits"), F.flatten(F.collect_set("_found")).alias("_items"))
+    return per_doc.select(*result)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", remove: str = "documents", size: int = WINDOW, **names) -> DataFrame:
