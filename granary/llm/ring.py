@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CELLS = 1 << 16
-NODES = 64
+NODES = 512
 #: A cell with more rows than this and than eight times the mean is ranked in parts.
 CELL_ROWS = 200_000
 _PARTS = 256
