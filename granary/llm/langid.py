@@ -10,7 +10,6 @@ leave goes to the others.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_remainder
+from .common import crc_remainder, slices
 from .linear import Ftrl, logits, softmax, temperature
 
 BITS = 15
 SAMPLE = 3000
 UNKNOWN = "und"
 _GRAMS = 3
-_LETTER = re.compile(r"[^\W\d_]")
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _STEP = 1 << 20
 
@@ -60,9 +58,10 @@ def _document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros((1 << BITS) + 1, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                df[:-1] += gram_counts(t or "") > 0
-                n += 1
+            for part in slices(batch, 0, 1 << 22):
+                for t in part.column(0).to_pylist():
+                    df[:-1] += gram_counts(t or "") > 0
+            n += len(batch)
         df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["gram", "n"])
@@ -109,10 +108,10 @@ def fit(train: DataFrame, sample: int = SAMPLE, rounds: int = 4) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1)
-            found = [gram_counts(t) for t in texts]
-            at = [np.flatnonzero(c).astype(np.int32) for c in found]
-            yield pa.RecordBatch.from_arrays([langs, pa.array([a.tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for a, c in zip(at, found, strict=True)], pa.binary())], ["lang", "at", "n"])
+            for part in slices(batch, 0, 1 << 20):
+                found = [gram_counts(t) for t in part.column(0).to_pylist()]
+                at = [np.flatnonzero(c).astype(np.int32) for c in found]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for a, c in zip(at, found, strict=True)], pa.binary())], ["lang", "at", "n"])
 
     rows = sorted(chosen.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect(), key=lambda r: (hash_bytes(r["at"], r["n"]), r["lang"]))
     ahead = {r["lang"]: i for i, r in reversed(list(enumerate(rows)))}  # one row of each language is never held out
@@ -143,7 +142,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """One row (id, ``lang_pred``, ``score``) per input row, from the text alone.
 
     Texts that are null or without a letter, and all texts for a model without languages, get ``und``
-    and score 0. Repeated rows stay; other columns are not read.
+    and score 0; letters are those of Unicode category L. Of equal scores the first language by name wins. Repeated rows stay; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -153,11 +152,10 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         scaled, bias = m["idf"][:, None] * m["weights"][:-1], m["weights"][-1]
         squared = m["idf"] ** 2
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts, 1 << 22):
+            for part in slices(batch, 1, 1 << 22):
                 langs, scores = [], []
-                for t in texts[a:b]:
-                    if not t or not m["langs"] or not _LETTER.search(t):
+                for t in part.column(1).to_pylist():
+                    if not t or not m["langs"] or not any(map(str.isalpha, t)):
                         langs.append(UNKNOWN)
                         scores.append(0.0)
                         continue
@@ -168,7 +166,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     best = int(p.argmax())
                     langs.append(m["langs"][best])
                     scores.append(float(p[best]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
 

@@ -155,6 +155,12 @@ def test_language_on_held_out_rows(spark):
     assert langid.language_id(df.limit(0)).count() == 0
 
 
+def test_letters_are_those_of_category_l(spark):
+    rows = [(1, "²½ Ⅷ 12"), (2, "٣ ④"), (3, "é"), (4, None), (5, "")]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), {"langs": ["en"], "idf": np.ones(1 << langid.BITS), "weights": np.zeros(((1 << langid.BITS) + 1, 1)), "temperature": 1.0})
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "und", 2: "und", 3: "en", 4: "und", 5: "und"}
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows = [(i, t, k) for i, (t, k) in enumerate(phrases(2, 150))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
