@@ -18,7 +18,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import slices
 
 DEPTH = 120
 WIDEST = 80
@@ -401,8 +401,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(1).to_pylist()
-            for a, b in blocks(found, 1 << 22):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([render(x) for x in found[a:b]], pa.string())], [id_col, out_col])
+            for part in slices(batch, 1, 1 << 22):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x) for x in part.column(1).to_pylist()], pa.string())], [id_col, out_col])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, `{out_col}` string")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, release
+from .common import release, slices
 
 try:
     from re import _constants as sre, _parser as sre_parse
@@ -240,10 +240,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts, 1 << 22):
-                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in scanner.scan(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(spans, kind)], [id_col, "spans"])
+            for part in slices(batch, 1, 1 << 22):
+                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in scanner.scan([t or "" for t in part.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], [id_col, "spans"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, spans {SPANS}")
 
@@ -255,11 +254,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in blocks(texts, 1 << 22):
-                spans = scanner.scan([t or "" for t in texts[a:b]])
-                done = [t if t is None else redacted(t, s) for t, s in zip(texts[a:b], spans, strict=True)]
-                part = batch.slice(a, b - a)
+            for part in slices(batch, at, 1 << 22):
+                texts = part.column(at).to_pylist()
+                spans = scanner.scan([t or "" for t in texts])
+                done = [t if t is None else redacted(t, s) for t, s in zip(texts, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(done, batch.column(at).type) if i == at else c for i, c in enumerate(part.columns)], schema=batch.schema)
         release()
 
