@@ -10,18 +10,18 @@ hashes of their ids); their vocabulary is that of the sample, exact and without
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh, release
+from .common import fresh, release, slices
+from .hashing import Numbers
 from .langid import bounded_sample
-from .linear import Ftrl, logits, softmax
+from .linear import Example, Ftrl, logits, softmax
 
 SAMPLE = 6000
 FOLDS = 5
@@ -53,35 +53,71 @@ def features(text: str | None) -> list[str]:
     return [*words, *sorted(starts), *marks(text)]
 
 
-def fit_chain(rows: list[tuple[list[str], dict[str, int | None]]], chain: tuple[str, ...], folds: int = FOLDS, rounds: int = 4) -> list[dict]:
+def _examples(shared: tuple) -> list[Example]:
+    """The features of each row: places of its words, each once, then the probabilities of the earlier categories."""
+    flat, ends, earlier, width, _ = shared
+    extra = np.arange(width - earlier.shape[1], width)
+    return [(np.concatenate([flat[a:b], extra]), np.concatenate([np.ones(b - a), p])) for a, b, p in zip(ends[:-1].tolist(), ends[1:].tolist(), earlier, strict=True)]
+
+
+def _fits(shared: tuple, uses: list[np.ndarray], rounds: int, spark: SparkSession | None) -> list[np.ndarray]:
+    """The weights fitted on each of these choices of rows; with a session each fit is a task."""
+
+
+    def fitted(shared: tuple, use: np.ndarray) -> np.ndarray:
+        examples = _examples(shared)
+        return Ftrl(shared[3], 2, alpha=0.4, l1=3.0, l2=0.5).fit([examples[i] for i in use], shared[4][use], rounds).weights()
+
+    if spark is None:
+        return [fitted(shared, use) for use in uses]
+    sent = spark.sparkContext.broadcast((shared, uses))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                shared, uses = sent.value
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([fitted(shared, uses[k]).tobytes()], pa.binary())], ["k", "w"])
+        release()
+
+    found = spark.range(0, len(uses), 1, len(uses)).mapInArrow(run, "k long, w binary").toArrow().to_pydict()
+    out = dict(zip(found["k"], found["w"], strict=True))
+    return [np.frombuffer(out[k]).reshape(-1, 2) for k in range(len(uses))]
+
+
+def fit_chain(rows: Iterable[tuple[list[str], dict[str, int | None]]], chain: tuple[str, ...], folds: int = FOLDS, rounds: int = 4, spark: SparkSession | None = None) -> list[dict]:
     """A model for each category in turn: feature weights, intercept, and weights of the earlier categories.
 
     A row without a label for a category is left out of that category's model. A category without
     examples gets a model that never applies.
     """
-    seen = Counter(f for words, _ in rows for f in words)
-    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= _LEAST_DOCS))}
-    base = [np.array([vocabulary[f] for f in words if f in vocabulary], np.int64) for words, _ in rows]
-    fold = np.arange(len(rows)) % folds
-    earlier = np.zeros((len(rows), 0))
+    numbers, each, labels = Numbers(), [], []
+    for words, known in rows:
+        each.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        labels.append(known)
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *each]), minlength=len(numbers))
+    vocabulary = {f: i for i, f in enumerate(sorted(f for f, k in numbers.items() if seen[k] >= _LEAST_DOCS))}
+    place = np.full(len(numbers), -1, np.int32)
+    for f, i in vocabulary.items():
+        place[numbers[f]] = i
+    each = [x[x >= 0] for x in (place[k] for k in each)]
+    flat, ends = np.concatenate([np.zeros(0, np.int32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+    fold = np.arange(len(each)) % folds
+    earlier = np.zeros((len(each), 0))
     out = []
     for category in chain:
         width = len(vocabulary) + earlier.shape[1]
-        examples = [(np.concatenate([at, np.arange(len(vocabulary), width)]), np.concatenate([np.ones(len(at)), earlier[i]])) for i, at in enumerate(base)]
-        y = np.array([-1 if labels.get(category) is None else labels[category] for _, labels in rows], np.int64)
-
-        def fitted(use: np.ndarray, examples=examples, width=width, y=y) -> np.ndarray:
-            return Ftrl(width, 2, alpha=0.4, l1=3.0, l2=0.5).fit([examples[i] for i in use], y[use], rounds).weights()
-
-        own = np.zeros(len(rows))
-        for k in range(folds):
-            inside, outside = np.flatnonzero(fold == k), np.flatnonzero((fold != k) & (y >= 0))
-            if len(inside) and len(outside):
-                own[inside] = softmax(logits(fitted(outside), [examples[i] for i in inside]))[:, 1]
+        y = np.array([-1 if x.get(category) is None else x[category] for x in labels], np.int64)
+        shared = (flat, ends, earlier, width, y)
+        inside = [np.flatnonzero(fold == k) for k in range(folds)]
+        uses = [np.flatnonzero((fold != k) & (y >= 0)) for k in range(folds)]
         use = np.flatnonzero(y >= 0)
+        weights = _fits(shared, [*uses, use], rounds, spark)
+        own, examples = np.zeros(len(each)), _examples(shared)
+        for rows_of, outside, w in zip(inside, uses, weights, strict=False):
+            if len(rows_of) and len(outside):
+                own[rows_of] = softmax(logits(w, [examples[i] for i in rows_of]))[:, 1]
         if (y == 1).any():
-            w = fitted(use)
-            difference = w[:, 1] - w[:, 0]
+            difference = weights[-1][:, 1] - weights[-1][:, 0]
         else:
             difference = np.append(np.zeros(width), -20.0)
         words = {f: float(difference[i]) for f, i in vocabulary.items() if difference[i]}
@@ -101,22 +137,26 @@ def chain_probabilities(model: list[dict], found: list[str]) -> list[float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain=CHAIN, sample: int = SAMPLE) -> list[dict]:
-    """The chain fitted on labelled documents. Null ids, and labels that are null, teach nothing; of several labels of an id the greatest counts."""
+    """The chain fitted on labelled documents. Null ids, and labels that are null, teach nothing; of several labels of an id the greatest counts, of several texts the one with the least hash."""
     wanted = [F.max((labels[column] == value).cast("int")).alias(category) for category, column, value in chain]
     each = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(*wanted)
     chosen = bounded_sample(each, F.xxhash64(F.col("id").cast("string")), sample)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id", "text"])
+    names = [c for c, _, _ in chain]
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id").groupBy("id", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [" ".join(features(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *batch.columns[1:]], ["words", *batch.schema.names[1:]])
+            for part in slices(batch, 0, 1 << 22):
+                words = [" ".join(features(t)) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *part.columns[1:]], ["words", *part.schema.names[1:]])
 
-    names = [c for c, _, _ in chain]
     schema = ", ".join(["words string", *[f"`{c}` int" for c in names], "h long"])
-    found = rows.select("text", *names, F.xxhash64(F.col("id").cast("string"), "text").alias("h")).mapInArrow(run, schema).collect()  # the sample
-    found.sort(key=lambda r: (r["h"], r["words"]))
-    return fit_chain([(r["words"].split(" "), {c: r[c] for c in names}) for r in found], tuple(names))
+    found = rows.select("text", *names, F.xxhash64(F.col("id").cast("string"), "text").alias("h")).mapInArrow(run, schema).toArrow().sort_by([("h", "ascending"), ("words", "ascending")])  # the sample
+    rows = ((found["words"][i].as_py().split(" "), {c: found[c][i].as_py() for c in names}) for i in range(len(found)))
+    model = fit_chain(rows, tuple(names), spark=docs.sparkSession)
+    del found, rows
+    release()  # on the driver, whose memory holds the sample until here
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: list[dict], text_col: str, columns: dict[str, str]) -> DataFrame:
@@ -129,10 +169,9 @@ def with_toxicity(docs: DataFrame, model: list[dict], text_col: str, columns: di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in blocks(texts, 1 << 22):
-                p = np.array([chain_probabilities(fitted, features(t)) if t else [0.0] * len(fitted) for t in texts[a:b]]).reshape(-1, len(fitted))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *[pa.array(p[:, k]) for k in range(len(fitted))]], names)
+            for part in slices(batch, at, 1 << 22):
+                p = np.array([chain_probabilities(fitted, features(t)) if t else [0.0] * len(fitted) for t in part.column(at).to_pylist()]).reshape(-1, len(fitted))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(p[:, k]) for k in range(len(fitted))]], names)
         release()
 
     return docs.mapInArrow(run, schema)
