@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import release, slices
 from .hashing import MIX, KeyTable, Numbers
@@ -239,6 +240,29 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
 
+def with_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "pieces", vocabulary: str = VOCABULARY, alpha: float = 0.5, seed: int = 17, block_bytes: int = 1 << 20) -> DataFrame:
+    """``docs`` with the ids of ``encode_pieces`` in ``ids_col``, and in ``text_col`` what they decode to, in one pass. All rows and columns stay; a null text has null ids."""
+    if ids_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {ids_col} already")
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
+    key, at = docs.columns.index(id_col), docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice(shared, alpha)
+        for batch in batches:
+            for part in slices(batch, at, block_bytes):
+                known = part.column(at).is_valid().to_pylist()
+                found = lattice.encode([t or "" for t in part.column(at).to_pylist()], [row_key(seed, k) for k in part.column(key).to_pylist()])
+                texts = pa.array([lattice.decode(x.tolist()) if yes else None for x, yes in zip(found, known, strict=True)], batch.column(at).type)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else [], pa.int32()), mask=pa.array([not yes for yes in known]))
+                yield pa.RecordBatch.from_arrays([*(texts if i == at else c for i, c in enumerate(part.columns)), ids], schema.names)
+        release()
+
+    return docs.mapInArrow(run, schema)
+
+
 def decode_pieces(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """``encoded`` with the text of its ids in ``out_col``, in place of the ids; null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
