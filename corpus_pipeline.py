@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import fresh, materialise
 from granary.llm.decontam import decontaminate
-from granary.llm.pieces import decode_pieces, encode_pieces
+from granary.llm.nearcopies import drop_near_copies
+from granary.llm.pieces import with_pieces
 from granary.llm.secrets import redact_secrets
-from granary.llm.simhash import drop_near_duplicates
 from granary.llm.toxicity import drop_toxic
 
 
@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, the one with the least id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies stays, the one with the least id."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text as sampled piece ids, and the text that the ids decode to. The ids are written first, so that
-    encoder and decoder are not in memory together."""
-    encoded = materialise(encode_pieces(docs, block_bytes=1 << 20))
-    return decode_pieces(encoded.select("doc_id", F.col("ids").alias("pieces"), "ids"), "ids", "text")
+    """Each text as sampled piece ids in the column ``pieces``, and the text that the ids decode to."""
+    return with_pieces(docs)
 
 
 STAGES = [
