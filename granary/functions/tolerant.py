@@ -18,7 +18,7 @@ DATE_PATTERNS = ("d/M/yyyy", "yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s.S
 def safe_int(value: Column) -> Column:
     """A whole number of at least 1: the text as a number, cut at the point; 1 for anything else."""
     number = F.trim(value.cast("string")).try_cast("double")
-    return F.greatest(F.lit(1), F.coalesce(number.try_cast("int"), F.lit(1)))
+    return F.greatest(F.lit(1).cast("long"), F.coalesce(number.try_cast("long"), F.lit(1).cast("long")))
 
 
 def safe_amount(value: Column) -> Column:

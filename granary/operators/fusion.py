@@ -36,13 +36,15 @@ def overlapping(left: DataFrame, right: DataFrame, least: float, side: int = 64)
     return pair.where(first).select("image_id", "a", "b", value.alias("iou")).where(F.col("iou") >= least)
 
 
-def fuse_greedy(boxes: DataFrame, least: float, quorum: bool = False) -> DataFrame:
+def fuse_greedy(boxes: DataFrame, least: float, quorum: bool = False, detectors: int | None = None) -> DataFrame:
     """Boxes of an image (detector, ord, x, y, w, h) fused one after the other by detector and order: a box joins the first group whose
-    box it overlaps by ``least``, which grows to hold it. With ``quorum``, groups need half of the detectors.
+    box it overlaps by ``least``, which grows to hold it. With ``quorum``, groups need half of the detectors. Agreement
+    is a share of all ``detectors`` that ran, also where they found nothing; if not given, of those that found anything at all.
 
     The order decides, so one image is one task's work; images spread over the cluster.
     """
     schema = "image_id long, x long, y long, w long, h long, sources string, agreement double"
+    n = max(1, boxes.select("detector").distinct().count()) if detectors is None else detectors
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[list] = []
@@ -58,17 +60,16 @@ def fuse_greedy(boxes: DataFrame, least: float, quorum: bool = False) -> DataFra
                     break
             else:
                 groups.append([x0, y0, x1, y1, {row.detector}])
-        n = pdf["detector"].nunique()
         kept = [g for g in groups if not quorum or len(g[4]) >= -(-n // 2)]
         return pd.DataFrame([(pdf["image_id"].iloc[0], g[0], g[1], g[2] - g[0], g[3] - g[1], ",".join(sorted(g[4])), len(g[4]) / n) for g in kept], columns=["image_id", "x", "y", "w", "h", "sources", "agreement"])
 
     return boxes.groupBy("image_id").applyInPandas(run, schema)
 
 
-def quorum_groups(grouped: DataFrame) -> DataFrame:
-    """Groups (image_id, group, detector) that half of the image's detectors or more agree on."""
-    n = grouped.groupBy("image_id").agg(F.countDistinct("detector").alias("n"))
-    return grouped.groupBy("image_id", "group").agg(F.countDistinct("detector").alias("votes")).join(n, "image_id").where(F.col("votes") >= F.ceil(F.col("n") / 2)).select("image_id", "group", "votes", F.round(F.col("votes") / F.col("n"), 4).alias("agreement"))
+def quorum_groups(grouped: DataFrame, detectors: int) -> DataFrame:
+    """Groups (image_id, group, detector) that half of all the ``detectors`` that ran or more agree on."""
+    by = grouped.groupBy("image_id", "group").agg(F.countDistinct("detector").alias("votes"))
+    return by.where(F.col("votes") >= -(-detectors // 2)).select("image_id", "group", "votes", F.round(F.col("votes") / detectors, 4).alias("agreement"))
 
 
 def in_regions(boxes: DataFrame, regions: DataFrame, least: float = INSIDE) -> DataFrame:

@@ -14,18 +14,22 @@ def gap_stats(rows: DataFrame, key: str, pos: str, size: str) -> DataFrame:
     return gaps.join(middle, key).groupBy(key, "n_gaps", "mid").agg(F.count_if(F.col("gap") > 2.5 * F.col("mid")).alias("n_wide"))
 
 
-def _fit(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    fit = rows.groupBy(key).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"))
-    return rows.join(fit, key).withColumn("resid", F.col(y) - F.coalesce("_s", F.lit(0.0)) * F.col(x) - F.coalesce("_i", F.lit(0.0))).drop("_s", "_i")
-
-
-def baseline(rows: DataFrame, key: str, x: str, y: str, cut: float = 1.8) -> DataFrame:
-    """By key: residuals of a line fitted, refitted without those beyond ``cut`` deviations; their deviation and lag-1 correlation."""
-    first = _fit(rows, key, x, y)
-    spread = first.groupBy(key).agg(F.stddev_pop("resid").alias("_d"))
-    inside = first.join(spread, key).where(F.abs("resid") <= cut * F.col("_d")).drop("resid", "_d")
-    second = _fit(inside, key, x, y)
-    w = Window.partitionBy(key).orderBy(x)
+def _fit(rows: DataFrame, of: list[str], x: str, y: str) -> DataFrame:
+    fit = rows.groupBy(*of).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"))
+    return rows.join(fit, of).withColumn("resid", F.col(y) - F.coalesce("_s", F.lit(0.0)) * F.col(x) - F.coalesce("_i", F.lit(0.0))).drop("_s", "_i")
+
+
+def baseline(rows: DataFrame, key: str, line: str, x: str, y: str, cut: float = 1.8, least: int = 4) -> DataFrame:
+    """By key: the deviation and lag-1 correlation of the residuals of all its lines together. Each ``line`` of
+    ``least`` points or more is fitted, and again without those beyond ``cut`` deviations if ``least`` are left."""
+    of = [key, line]
+    long = rows.join(rows.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n"), of)
+    first = _fit(long, of, x, y)
+    first = first.join(first.groupBy(*of).agg(F.stddev_pop("resid").alias("_d")), of).withColumn("_in", F.abs("resid") <= cut * F.col("_d"))
+    again = (F.col("_d") > 1e-9) & (F.col("_k") >= least)
+    first = first.join(first.groupBy(*of).agg(F.count_if("_in").alias("_k")), of).withColumn("_again", again).drop("_d", "_k")
+    second = _fit(first.where("_again AND _in").drop("resid"), of, x, y).unionByName(first.where("NOT _again"))
+    w = Window.partitionBy(*of).orderBy(x)
     pairs = second.withColumn("prev", F.lag("resid").over(w))
     top = F.coalesce(F.sum(F.col("resid") * F.col("prev")), F.lit(0.0))
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("resid").alias("sigma"), F.when(F.sum(F.pow("resid", 2)) > 0, top / F.sum(F.pow("resid", 2))).otherwise(0.0).alias("autocorr"))
@@ -88,18 +92,19 @@ def local_minima(rows: DataFrame, key: str, ord_: str, value: str) -> DataFrame:
 
 
 def period(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
-    """(key, period, strength): the first lag, from a twentieth to a third of the span, whose correlation is a strict local maximum."""
+    """(key, period, strength): of the lags from a twentieth (two at least) to a third of the span the one with the best
+    correlation above zero that exceeds the lag before and is not below the next; of equals the first."""
     span = rows.groupBy(key).agg((F.max(pos) - F.min(pos) + 1).alias("span"), F.avg(value).alias("m"))
-    d = rows.join(F.broadcast(span), key).withColumn("d", F.col(value) - F.col("m"))
-    low, high = F.greatest(F.floor(F.col("span") / 20), F.lit(1)), F.floor(F.col("span") / 3)
-    lagged = d.select(key, F.col(pos).alias("p"), "d", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), high)).alias("lag"))
+    d = rows.join(span, key).withColumn("d", F.col(value) - F.col("m"))
+    low, high = F.greatest(F.floor(F.col("span") / 20), F.lit(2)), F.greatest(F.floor(F.col("span") / 3), F.lit(3))
+    lagged = d.select(key, F.col(pos).alias("p"), "d", F.explode(F.sequence(low - 1, high)).alias("lag"))
     other = d.select(key, F.col(pos).alias("q"), F.col("d").alias("e"))
     pairs = lagged.join(other, (lagged[key] == other[key]) & (F.col("p") + F.col("lag") == F.col("q"))).select(lagged[key], "lag", "d", "e")
     power = d.groupBy(key, "span").agg(F.sum(F.pow("d", 2)).alias("z"))
     corr = pairs.groupBy(key, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("c")).join(power, key).select(key, "lag", "span", F.round(F.col("c") / F.col("z"), 9).alias("r"))
     w = Window.partitionBy(key).orderBy("lag")
-    peaks = corr.withColumn("a", F.lag("r").over(w)).withColumn("b", F.lead("r").over(w)).where((F.col("r") > F.col("a")) & (F.col("r") > F.col("b")) & (F.col("lag") >= low) & (F.col("lag") < high))
-    return peaks.groupBy(key).agg(F.min("lag").alias("period"), F.min_by("r", "lag").alias("strength"))
+    peaks = corr.withColumn("a", F.lag("r").over(w)).withColumn("b", F.lead("r").over(w)).where((F.col("r") > F.col("a")) & (F.col("r") >= F.col("b")) & (F.col("r") > 0) & (F.col("lag") >= low) & (F.col("lag") < high))
+    return peaks.groupBy(key).agg(F.max_by("lag", F.struct(F.col("r"), -F.col("lag"))).alias("period"), F.max("r").alias("strength"))
 
 
 def paginate(rows: DataFrame, key: str, ord_: str, usable: int, spacing: int) -> DataFrame:

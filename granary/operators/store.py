@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import grades
+from granary.session import use_checkpoints
 
 # Hard filters (least box side, area shares, ink ghosts and blobs, clipping, parts, aspect), quality weights and limits.
 BOX, AREA_SMALL, GHOST, GHOST_ABS, BLOB, BLOB_ABS, CLIP = 5, 0.10, 0.30, 0.03, 2.50, 0.55, 0.30
@@ -56,10 +57,19 @@ def review_queue(rows: DataFrame) -> DataFrame:
 
 
 def review_pages(rows: DataFrame, size: int = 40) -> DataFrame:
-    """The review queue with pages: each key's part of the queue in order of tier, score and id. Pages are
-    numbered within a key, so no task orders the whole queue."""
-    order = Window.partitionBy("char").orderBy(grades.tier_rank(F.col("tier")), "score", "id")
-    return review_queue(rows).withColumn("page", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    """The review queue with pages of the whole queue, in order of tier, score and id.
+
+    The queue is dealt out in ranges of that order, each sorted by one task; a row's place is its place in its
+    range after the sizes of the ranges before.
+    """
+    use_checkpoints(rows.sparkSession)
+    order = [grades.tier_rank(F.col("tier")), F.col("score"), F.col("id")]
+    placed = review_queue(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("page", F.floor(place / size).cast("int")).drop("_part", "_before", "_at")
 
 
 def capped(rows: DataFrame, most: int = TOP, floor: float = FLOOR, key: str = "char") -> DataFrame:

@@ -40,8 +40,11 @@ def _text(spark, sf_dir):
     return blocks.document_text(turns(spark, sf_dir))
 
 
-_RAW = r"(SELECT page_id AS doc_id, unnest(r) AS raw, unnest(range(len(r)))::INTEGER AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h[1-6]|p|li)(?:\s[^>]*)?>[^<]*') AS r FROM pages))"
-_BLOCKS = rf"(SELECT doc_id, pos, CASE WHEN t LIKE 'h%' THEN 'heading' WHEN t = 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, CASE WHEN t LIKE 'h%' THEN substr(t, 2, 1)::INTEGER ELSE 0 END AS level, text FROM (SELECT doc_id, pos, regexp_extract(raw, '^<(h[1-6]|p|li)', 1) AS t, trim(regexp_replace(raw, '^<[^>]*>', ''), ' ') AS text FROM {_RAW}))"
+# The page is cut before every block tag; a part that opens with a heading, paragraph or list item is a block.
+_PARTS = rf"string_split(regexp_replace(html, '(?i)(</?(?:{blocks.BLOCK_TAGS})[\s/>])', chr(1) || '\1', 'g'), chr(1))"
+_RAW = rf"(SELECT page_id AS doc_id, unnest(r) AS raw, unnest(range(len(r)))::INTEGER AS pos FROM (SELECT page_id, list_filter({_PARTS}, lambda x: regexp_matches(x, '^<(?:h[1-6]|p|li)(?:\s[^>]*)?>')) AS r FROM pages))"
+_PLAIN = r"regexp_replace(regexp_replace(raw, '(?i)<br(?:[\s/][^>]*)?>', ' ', 'g'), '(?s)<!--.*?-->|</?[A-Za-z][^>]*>', '', 'g')"
+_BLOCKS = rf"(SELECT doc_id, pos, CASE WHEN t LIKE 'h%' THEN 'heading' WHEN t = 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, CASE WHEN t LIKE 'h%' THEN substr(t, 2, 1)::INTEGER ELSE 0 END AS level, text FROM (SELECT doc_id, pos, regexp_extract(raw, '^<(h[1-6]|p|li)', 1) AS t, trim({_PLAIN}, ' ') AS text FROM {_RAW}))"
 
 
 @query("page_blocks", f"SELECT doc_id, pos, kind, level, text FROM {_BLOCKS}")

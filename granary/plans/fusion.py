@@ -57,10 +57,15 @@ def _union(spark, sf_dir):
     return fusion.fuse_greedy(boxes(spark, sf_dir).withColumn("ord", F.xxhash64("id")), 0.3)
 
 
-@query("box_quorum", f"""WITH g AS (SELECT DISTINCT image_id, x // 60 AS grp, detector FROM {_BOX}), n AS (SELECT image_id, count(DISTINCT detector) AS n FROM g GROUP BY 1)
- SELECT image_id, grp AS "group", count(*) AS votes, round(count(*)::DOUBLE / any_value(n), 4) AS agreement FROM g JOIN n USING (image_id) GROUP BY 1, 2 HAVING count(*) >= ceil(any_value(n) / 2.0)""")
+@query("box_quorum", f"""SELECT image_id, x // 60 AS "group", count(DISTINCT detector) AS votes, round(count(DISTINCT detector) / 3.0::DOUBLE, 4) AS agreement FROM {_BOX} GROUP BY 1, 2 HAVING count(DISTINCT detector) >= 2""")
 def _quorum(spark, sf_dir):
-    return fusion.quorum_groups(boxes(spark, sf_dir).select("image_id", F.floor(F.col("x") / 60).alias("group"), "detector"))
+    """Three detectors ran, one of which found nothing."""
+    return fusion.quorum_groups(boxes(spark, sf_dir).select("image_id", F.floor(F.col("x") / 60).alias("group"), "detector"), 3)
+
+
+@query("box_fused_quorum")
+def _fused(spark, sf_dir):
+    return fusion.fuse_greedy(boxes(spark, sf_dir).withColumn("ord", F.xxhash64("id")), 0.3, quorum=True, detectors=3)
 
 
 @query("box_match")

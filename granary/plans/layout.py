@@ -21,16 +21,23 @@ def _gaps(spark, sf_dir):
     return layout.gap_stats(table(spark, sf_dir, "events").select("user_id", "event_id", F.lit(3).alias("w")), "user_id", "event_id", "w")
 
 
-def _resid(src: str) -> str:
-    return f"(SELECT user_id, x, y, y - coalesce(regr_slope(y, x) OVER (PARTITION BY user_id), 0) * x - coalesce(regr_intercept(y, x) OVER (PARTITION BY user_id), 0) AS resid FROM {src})"
+_LINE = "PARTITION BY user_id, line"
 
 
-_IN = f"(SELECT user_id, x, y FROM (SELECT *, stddev_pop(resid) OVER (PARTITION BY user_id) AS d FROM {_resid(_SIG)}) WHERE abs(resid) <= 1.8 * d)"
+def _resid(src: str, more: str = "") -> str:
+    return f"(SELECT *, y - coalesce(regr_slope(y, x) OVER ({_LINE}), 0) * x - coalesce(regr_intercept(y, x) OVER ({_LINE}), 0) AS resid {more} FROM {src})"
 
 
-@query("baseline_autocorr", f"SELECT user_id, count(*) AS n, round(stddev_pop(resid), 5) AS sigma, round(CASE WHEN sum(resid * resid) > 0 THEN coalesce(sum(resid * prev), 0) / sum(resid * resid) ELSE 0 END, 5) AS autocorr FROM (SELECT *, lag(resid) OVER (PARTITION BY user_id ORDER BY x) AS prev FROM {_resid(_IN)}) GROUP BY 1")
+_LONG = f"(SELECT * FROM (SELECT user_id, x::BIGINT % 3 AS line, x, y, count(*) OVER (PARTITION BY user_id, x::BIGINT % 3) AS n FROM {_SIG}) WHERE n >= 4)"
+_FIRST = f"(SELECT *, abs(resid) <= 1.8 * d AS inside FROM (SELECT *, stddev_pop(resid) OVER ({_LINE}) AS d FROM {_resid(_LONG)}))"
+_TWO = f"(SELECT *, d > 1e-9 AND count(*) FILTER (WHERE inside) OVER ({_LINE}) >= 4 AS again FROM {_FIRST})"
+_LAST = f"(SELECT user_id, line, x, resid FROM {_TWO} WHERE NOT again UNION ALL SELECT user_id, line, x, resid FROM {_resid(f'(SELECT * EXCLUDE (resid) FROM {_TWO} WHERE again AND inside)')})"
+
+
+@query("baseline_autocorr", f"SELECT user_id, count(*) AS n, round(stddev_pop(resid), 5) AS sigma, round(CASE WHEN sum(resid * resid) > 0 THEN coalesce(sum(resid * prev), 0) / sum(resid * resid) ELSE 0 END, 5) AS autocorr FROM (SELECT *, lag(resid) OVER ({_LINE} ORDER BY x) AS prev FROM {_LAST}) GROUP BY 1")
 def _baseline(spark, sf_dir):
-    return layout.baseline(signal(spark, sf_dir), "user_id", "x", "y").select("user_id", "n", F.round("sigma", 5).alias("sigma"), F.round("autocorr", 5).alias("autocorr"))
+    rows = signal(spark, sf_dir).withColumn("line", F.pmod(F.col("x").cast("long"), F.lit(3)))
+    return layout.baseline(rows, "user_id", "line", "x", "y").select("user_id", "n", F.round("sigma", 5).alias("sigma"), F.round("autocorr", 5).alias("autocorr"))
 
 
 @query("margin_stats", """SELECT user_id, CASE WHEN n < 3 THEN 0.0 ELSE round(coalesce(sum(d * p), 0) / sum(d * d), 5) END AS margin_autocorr, CASE WHEN n < 3 THEN 0.0 ELSE round(arg_min(d, x), 5) END AS first_indent, CASE WHEN n < 3 THEN 0.0 ELSE round(stddev_pop(z) / avg(z), 5) END AS right_cv FROM
@@ -86,10 +93,10 @@ _HOURS = "(SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS pos, count(*)::
 
 
 @query("autocorr_period", f"""WITH d AS (SELECT event_type, pos, value - avg(value) OVER (PARTITION BY event_type) AS d, max(pos) OVER (PARTITION BY event_type) - min(pos) OVER (PARTITION BY event_type) + 1 AS span FROM {_HOURS}),
- z AS (SELECT event_type, any_value(span) AS span, sum(d * d) AS z FROM d GROUP BY 1), lags AS (SELECT event_type, span, z, unnest(range(greatest(greatest(span // 20, 1) - 1, 0), span // 3 + 1)) AS lag FROM z),
+ z AS (SELECT event_type, any_value(span) AS span, sum(d * d) AS z FROM d GROUP BY 1), lags AS (SELECT event_type, span, z, unnest(range(greatest(span // 20, 2) - 1, greatest(span // 3, 3) + 1)) AS lag FROM z),
  c AS (SELECT l.event_type, l.lag, l.span, round(sum(a.d * b.d) / any_value(l.z), 9) AS r FROM lags l JOIN d a ON a.event_type = l.event_type JOIN d b ON b.event_type = a.event_type AND b.pos = a.pos + l.lag GROUP BY 1, 2, 3),
  p AS (SELECT *, lag(r) OVER w AS a, lead(r) OVER w AS b FROM c WINDOW w AS (PARTITION BY event_type ORDER BY lag))
- SELECT event_type, min(lag) AS period, round(arg_min(r, lag), 6) AS strength FROM p WHERE r > a AND r > b AND lag >= greatest(span // 20, 1) AND lag < span // 3 GROUP BY 1""")
+ SELECT event_type, lag AS period, round(r, 6) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY r DESC, lag) AS best FROM p WHERE r > a AND r >= b AND r > 0 AND lag >= greatest(span // 20, 2) AND lag < greatest(span // 3, 3)) WHERE best = 1""")
 def _period(spark, sf_dir):
     return layout.period(_hours(spark, sf_dir), "event_type", "pos", "value").withColumn("strength", F.round("strength", 6))
 

@@ -125,11 +125,12 @@ def _quote(spark, sf_dir):
 
 
 @query("tolerant_parse", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 3 = 1 THEN 0.0 ELSE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0) END AS amount,
- CASE WHEN event_id % 3 = 0 THEN greatest(1, trunc(value)::INTEGER) WHEN event_id % 3 = 1 THEN 1 ELSE greatest(1, coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 1)) END::INTEGER AS whole FROM events""")
+ CASE WHEN event_id % 3 = 0 THEN greatest(1, trunc(value * 10000000000)::BIGINT) WHEN event_id % 3 = 1 THEN 1 ELSE greatest(1, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 1)) END::BIGINT AS whole FROM events""")
 def _tolerant(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.col("value").cast("string"))).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.get_json_object("props", "$.k"))
-    return e.select("event_id", tolerant.safe_amount(raw).alias("amount"), tolerant.safe_int(raw).alias("whole"))
+    large = F.when(F.col("event_id") % 3 == 0, (F.col("value") * 10_000_000_000).cast("string")).otherwise(raw)  # beyond 32 bits
+    return e.select("event_id", tolerant.safe_amount(raw).alias("amount"), tolerant.safe_int(large).alias("whole"))
 
 
 @query("multi_format_date", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE o_orderdate END AS parsed FROM orders")

@@ -83,8 +83,11 @@ def _centroid(spark, sf_dir):
     return fp.bit_centroid(prints(spark, sf_dir))
 
 
-@query("insert_dedupe", f"""SELECT id, key, 1000 + row_number() OVER (PARTITION BY key ORDER BY id) AS index FROM (SELECT a.id, a.key, a.bits, row_number() OVER (PARTITION BY a.key, a.bits ORDER BY a.id) AS r, min(hamming(a.bits, b.bits)) AS dist
- FROM {_FP} a LEFT JOIN {_FP} b ON a.key = b.key AND b.id % 3 = 0 WHERE a.id % 3 <> 0 GROUP BY a.id, a.key, a.bits) WHERE r = 1 AND (dist IS NULL OR dist > {_LIMIT})""")
+@query("insert_dedupe", f"""WITH RECURSIVE f AS (SELECT a.id, a.key, a.bits, min(hamming(a.bits, b.bits)) AS dist FROM {_FP} a LEFT JOIN {_FP} b ON a.key = b.key AND b.id % 3 = 0 WHERE a.id % 3 <> 0 GROUP BY 1, 2, 3),
+ v AS (SELECT id, key, bits, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM f WHERE dist IS NULL OR dist > {_LIMIT}),
+ s AS (SELECT key, 0::BIGINT AS n, []::VARCHAR[] AS had, NULL::BIGINT AS id, false AS added FROM (SELECT DISTINCT key FROM v)
+ UNION ALL SELECT v.key, v.n, CASE WHEN ok THEN list_append(had, bits) ELSE had END, v.id, ok FROM (SELECT v.key, v.n, v.id, v.bits, s.had, len(list_filter(s.had, lambda x: hamming(x, v.bits) <= {_LIMIT})) = 0 AS ok FROM s JOIN v ON v.key = s.key AND v.n = s.n + 1) v)
+ SELECT id, key, 1000 + row_number() OVER (PARTITION BY key ORDER BY id) AS index FROM s WHERE added""")
 def _insert(spark, sf_dir):
     rows = prints(spark, sf_dir)
     return fp.insert_new(rows.where("id % 3 = 0").withColumn("index", F.lit(1000)), rows.where("id % 3 <> 0"), _LIMIT).select("id", "key", F.col("index").cast("long").alias("index"))
@@ -145,7 +148,7 @@ def _queue(spark, sf_dir):
     return store.review_queue(entries(spark, sf_dir)).select("id", "tier", "score")
 
 
-@query("review_order", f"SELECT id, char, ((row_number() OVER (PARTITION BY char ORDER BY CASE tier WHEN 'Gold' THEN 2 WHEN 'Silver' THEN 1 ELSE 0 END, score, id) - 1) // 40)::INTEGER AS page FROM {_PART} WHERE tier = 'Bronze' OR score < 0.5")
+@query("review_order", f"SELECT id, char, ((row_number() OVER (ORDER BY CASE tier WHEN 'Gold' THEN 2 WHEN 'Silver' THEN 1 ELSE 0 END, score, id) - 1) // 40)::INTEGER AS page FROM {_PART} WHERE tier = 'Bronze' OR score < 0.5")
 def _review(spark, sf_dir):
     return store.review_pages(entries(spark, sf_dir)).select("id", "char", "page")
 

@@ -125,9 +125,15 @@ def _accents(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.keep_tilde_n(F.coalesce("text", F.lit(""))).alias("plain"))
 
 
-@query("wrapper_strip", "SELECT conv_id, turn, text AS answer FROM conversations")
+#: Around each text: a preamble and a break in several forms, and every pair of quotes, by the number of the turn.
+_BREAKS = ("\n", "\n\n", " \t\n \t\n", "\r\n\n")
+_QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("«", "»"), ("", ""))
+
+
+@query("wrapper_strip", r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer FROM conversations")
 def _strip(spark, sf_dir):
-    wrapped = F.concat(F.lit('"Aquí está el texto corregido:\n'), F.trim("text"), F.lit('"'))
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.pmod("turn", F.lit(len(xs))).cast("int") + 1)
+    wrapped = F.concat(F.lit(" \n"), pick([q for q, _ in _QUOTES]), F.lit("Aquí está el texto corregido:"), pick(_BREAKS), "text", F.lit("\t"), pick([q for _, q in _QUOTES]), F.lit("\n"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.strip_wrapper(wrapped).alias("answer"))
 
 

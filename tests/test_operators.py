@@ -1,10 +1,12 @@
 """Operators on small literal inputs with known results."""
 
 import json
+import math
 import random
 from collections import Counter
 
 import granary.plans  # noqa: F401
+import numpy as np
 import pytest
 from granary.functions import grades, tolerant
 from granary.functions import text as tx
@@ -41,7 +43,7 @@ def test_payments_by_month(spark):
 
 
 def test_tolerant_numbers_and_dates(spark):
-    assert values(spark, tolerant.safe_int(V), ["0", "-5", "", None, "tres", "  ", "3.0", " 7 ", "2.9"]) == [1, 1, 1, 1, 1, 1, 3, 7, 2]
+    assert values(spark, tolerant.safe_int(V), ["0", "-5", "", None, "tres", "  ", "3.0", " 7 ", "2.9", "3000000000"]) == [1, 1, 1, 1, 1, 1, 3, 7, 2, 3_000_000_000]
     assert values(spark, tolerant.safe_amount(V), [None, "", "abc", "1.5", " 2 "]) == [0.0, 0.0, 0.0, 1.5, 2.0]
     assert [d and d.isoformat() for d in values(spark, tolerant.parse_date(V), ["5/1/2026", "2026-01-15", "2026-01-15T10:30:00", "31/02/2026", "x", None])] == ["2026-01-05T00:00:00", "2026-01-15T00:00:00", "2026-01-15T10:30:00", None, None, None]
     assert values(spark, tolerant.price(V, F.lit("Normal"), F.lit("Apunte")), ["1", "x"]) == [50.75, 50.75]
@@ -91,7 +93,7 @@ def test_clean_up(spark):
 
 
 def test_wrappers(spark):
-    assert values(spark, tx.strip_wrapper(V), ['"hola"', "Aquí está:\nhola\nmás", "Texto propio:\nhola", "«a»", "''"]) == ["hola", "hola\nmás", "Texto propio:\nhola", "a", "''"]
+    assert values(spark, tx.strip_wrapper(V), ['"hola"', "Aquí está:\nhola\nmás", "Texto propio:\nhola", "«a»", "''", "Claro:\n\nTexto", " “ Claro: \t\r\n\n\tTexto \n” "]) == ["hola", "hola\nmás", "Texto propio:\nhola", "a", "''", "Texto", "Texto"]
     guard = spark.createDataFrame([("x" * 10, "y" * 3), ("x" * 10, "y" * 4), ("x", "")], "a string, b string").select(tx.guarded(F.col("a"), F.col("b")))
     assert [r[0] for r in guard.collect()] == ["x" * 10, "y" * 4, "x"]
     diff = spark.createDataFrame([("a b c", "a x c"), ("a", "a b")], "a string, b string").select(tx.word_changes(F.col("a"), F.col("b")))
@@ -146,6 +148,8 @@ def test_boxes(spark):
     box = "image_id long, detector string, ord long, x long, y long, w long, h long"
     alone = fusion.fuse_greedy(spark.createDataFrame([(1, "a", 0, 0, 0, 10, 10), (1, "a", 1, 20, 0, 10, 10)], box), 0.3).collect()
     assert [r.agreement for r in alone] == [1.0, 1.0]
+    one = spark.createDataFrame([(1, "a", 0, 0, 0, 10, 10), (2, "b", 0, 0, 0, 10, 10), (2, "a", 0, 0, 0, 10, 10)], box)
+    assert [(r.image_id, r.agreement) for r in fusion.fuse_greedy(one, 0.3, quorum=True, detectors=3).collect()] == [(2, 2 / 3)]  # one of three is no quorum
     both = fusion.fuse_greedy(spark.createDataFrame([(1, "a", 0, 0, 0, 10, 10), (1, "b", 0, 1, 1, 10, 10), (1, "b", 1, 90, 90, 5, 5)], box), 0.3).collect()
     assert sorted((r.sources, r.agreement, r.w) for r in both) == [("a,b", 1.0, 11), ("b", 0.5, 5)]
     assert [r.sources for r in fusion.fuse_greedy(spark.createDataFrame([(1, d, 0, 0, 0, 10, 10) for d in "ab"] + [(1, "c", 0, 50, 50, 9, 9)], box), 0.3, quorum=True).collect()] == ["a,b"]
@@ -247,7 +251,10 @@ def test_fingerprints(spark):
     clusters = {r.id: r.cluster for r in fingerprints.clusters(prints(spark, [*rows, (30, "a", group[4]), (31, "a", z)]), 1).collect()}
     assert [clusters[i] for i in (0, 1, 2, 3, 4, 30, 31, 20, 21)] == [0, 0, 0, 0, 4, 4, 0, 20, 21]
     new = fingerprints.insert_new(prints(spark, rows[:2]).withColumn("index", F.lit(3)), prints(spark, [(50, "a", group[2]), (51, "a", group[4]), (52, "a", group[4]), (53, "n", z)]), 2)
-    assert sorted((r.id, r["index"]) for r in new.collect()) == [(51, 4), (53, 1)]
+    assert sorted((r.id, r["index"]) for r in new.collect()) == [(51, 4), (53, 0)]
+    row = ["0" * 7 + "1" * (i + 1) + "0" * (8 - i) for i in range(6)]  # neighbours differ in one bit
+    batch = fingerprints.insert_new(prints(spark, []).withColumn("index", F.lit(3)), prints(spark, [*((i, "a", b) for i, b in enumerate(row)), (8, "a", "0" * 16), (9, "a", "0" * 16)]), 1)
+    assert sorted((r.id, r["index"]) for r in batch.collect()) == [(0, 0), (2, 1), (4, 2), (8, 3), (9, 4)]
 
 
 def test_vector_bits(spark):
@@ -299,8 +306,14 @@ def test_layout(spark):
     assert layout.otsu(levels, "k", "v").first().threshold == 12
     wave = spark.createDataFrame([(1, i, [0.0, 1.0, 3.0, 1.0, 0.0][i % 5]) for i in range(60)], "k int, p int, v double")
     assert layout.period(wave, "k", "p", "v").first().period == 5
-    line = spark.createDataFrame([(1, float(i), 2.0 * i + 1) for i in range(9)], "k int, x double, y double")
-    assert abs(layout.baseline(line, "k", "x", "y").select(F.coalesce("sigma", F.lit(0.0))).first()[0] if layout.baseline(line, "k", "x", "y").count() else 0) < 1e-9
+    waves = spark.createDataFrame([(1, i, math.cos(2 * math.pi * i / 28) + 0.55 * math.cos(2 * math.pi * i / 7)) for i in range(120)], "k int, p int, v double")
+    assert layout.period(waves, "k", "p", "v").first().period == 28  # the best, not the first at 7
+    line = spark.createDataFrame([(1, 1, float(i), 2.0 * i + 1) for i in range(9)] + [(1, 2, float(i), 5.0 * (i % 2)) for i in range(3)] + [(2, 1, float(i), float(y)) for i, y in enumerate((0, 1, 0, 1, 0, 1, 0, 30))], "k int, line int, x double, y double")
+    found = {r.k: r for r in layout.baseline(line, "k", "line", "x", "y").collect()}
+    assert found[1].n == 9 and abs(found[1].sigma) < 1e-9  # a line of three is left out
+    kept = np.array([0, 1, 0, 1, 0, 1, 0.0])
+    left = kept - np.polyval(np.polyfit(np.arange(7), kept, 1), np.arange(7))
+    assert found[2].n == 7 and abs(found[2].sigma - left.std()) < 1e-9 and abs(found[2].autocorr - (left[:-1] * left[1:]).sum() / (left**2).sum()) < 1e-9
 
 
 def greedy_wrap(text, width):
