@@ -1,9 +1,10 @@
-"""Ranking and similarity that the built-in functions cannot say, in Arrow batches: fuzzy ranks, text ratios, sampling, routes."""
+"""Fuzzy ranks and top classes by built-in functions; text ratios, sampling and routes, which these cannot say, in Arrow batches."""
 
 from __future__ import annotations
 
 import difflib
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,39 +16,39 @@ SEPARATORS = " \t_-./:·"
 WEIGHTS = {"Gold": 3, "Silver": 1, "Bronze": 0}
 
 
-def fuzzy_score(query: str, text: str) -> float:
-    """The best of the ways to find the query's characters in order, one for each place of its first character.
+def fuzzy_score(query: str, text: Column) -> Column:
+    """How well the query's characters are found in order in a text, the best over all places of the first of them.
 
-    Each character counts, more after a separator and next to the last one; a text that begins with the query
-    gets more for each character. 0 if one is missing; every text the same for an empty query.
+    Each character counts, more after a separator and next to the one before; a text that begins with the query
+    gets more for each character. 0 if one is missing or the text is null; an empty query finds every text alike.
     """
-    query, text = query.lower().strip(), text.lower()
+    query, text = query.lower().strip(), F.lower(F.coalesce(text, F.lit("")))
     if not query:
-        return EMPTY
-    best = 0.0
-    for anchor in (i for i, c in enumerate(text) if c == query[0]):
-        score, last = 0.0, -2
-        for k, ch in enumerate(query):
-            at = anchor if k == 0 else text.find(ch, last + 1)
-            if at < 0:
-                score = 0.0
-                break
-            score += CHAR + WORD_START * (at == 0 or text[at - 1] in SEPARATORS) + CONSECUTIVE * (at == last + 1)
-            last = at
-        best = max(best, score)
-    return best + PREFIX * len(query) if best and text.startswith(query) else best
+        return F.lit(EMPTY)
+    starts = [F.lit(""), *map(F.lit, SEPARATORS)]
+    at_start = lambda at: F.when(F.substring(text, at - 1, F.when(at > 1, 1).otherwise(0)).isin(*starts), WORD_START).otherwise(0.0)
+    # A way is the place reached (0: none) and its points; it starts at each place and goes on to the next fitting character.
+    ways = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.struct(F.when(F.substring(text, i, F.lit(1)) == query[0], i).otherwise(0).alias("at"), (CHAR + at_start(i)).alias("points")))
+    for c in query[1:]:
+        ways = F.transform(F.filter(ways, lambda w: w["at"] > 0), _onward(text, c, at_start))
+    best = F.coalesce(F.array_max(F.transform(F.filter(ways, lambda w: w["at"] > 0), lambda w: w["points"])), F.lit(0.0))
+    return best + F.when((best > 0) & text.startswith(query), PREFIX * len(query)).otherwise(0.0)
 
 
-def fuzzy_rank(rows: DataFrame, query: str, most: int = MOST) -> DataFrame:
-    """(id, ord, label, score): the best matches of label or keywords, without those that do not match. An empty query takes all rows in order."""
+def _onward(text: Column, c: str, at_start: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    def step(way: Column) -> Column:
+        at = F.call_function("locate", F.lit(c), text, way["at"] + 1)
+        return F.struct(at.alias("at"), (way["points"] + CHAR + at_start(at) + F.when(at == way["at"] + 1, CONSECUTIVE).otherwise(0.0)).alias("points"))
 
-    @F.pandas_udf("double")
-    def score(labels: pd.Series, keywords: pd.Series) -> pd.Series:
-        return pd.Series([max(fuzzy_score(query, a or ""), KEYWORDS * fuzzy_score(query, b or "")) for a, b in zip(labels, keywords, strict=True)])
+    return step
 
+
+def fuzzy_rank(rows: DataFrame, query: str, most: int = MOST) -> DataFrame:
+    """(id, ord, label, score): the best matches of label or keywords, without those that do not match. An empty query takes all rows in order."""
     if not query.strip():
         return rows.select("id", "ord", "label", F.lit(EMPTY).alias("score")).orderBy("ord")
-    found = rows.select("id", "ord", "label", score("label", "keywords").alias("score")).where("score > 0")
+    score = F.greatest(fuzzy_score(query, F.col("label")), KEYWORDS * fuzzy_score(query, F.col("keywords")))
+    found = rows.select("id", "ord", "label", score.alias("score")).where("score > 0")
     return found.orderBy(F.desc("score"), "ord").limit(most)
 
 

@@ -12,9 +12,23 @@ def commands(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("label"), F.concat_ws(" ", "p_type", "p_brand").alias("keywords"))
 
 
-@query("fuzzy_rank")
+_QUERY = "sm ri"
+
+
+def _fuzzy_sql(q: str) -> str:
+    """One step a character: the places it is found at next, from every place of the first one."""
+    start = lambda at: f"CASE WHEN {at} = 1 OR contains(' ' || chr(9) || '_-./:·', substr(t, {at} - 1, 1)) THEN 2.0 ELSE 0.0 END"
+    steps = [f"w0 AS (SELECT id, k, t, a AS z, 1.0 + {start('a')} AS p FROM (SELECT *, unnest(range(1, length(t) + 1)) AS a FROM t) WHERE substr(t, a, 1) = '{q[0]}')"]
+    for i, c in enumerate(q[1:]):
+        steps.append(f"w{i + 1} AS (SELECT id, k, t, z + d AS z, p + 1.0 + {start('(z + d)')} + CASE WHEN d = 1 THEN 1.5 ELSE 0.0 END AS p FROM (SELECT *, strpos(substr(t, z + 1), '{c}') AS d FROM w{i}) WHERE d > 0)")
+    best = f"SELECT id, max(k * (p + CASE WHEN starts_with(t, '{q}') THEN 2.0 * {len(q)} ELSE 0.0 END))::DOUBLE AS score FROM w{len(q) - 1} GROUP BY id"
+    texts = "SELECT p_partkey AS id, lower(p_name) AS t, 1.0 AS k FROM part UNION ALL SELECT p_partkey, lower(p_type || ' ' || p_brand), 0.8 FROM part"
+    return f"WITH t AS ({texts}), {', '.join(steps)} SELECT id, id AS ord, p_name AS label, score FROM ({best}) JOIN part ON p_partkey = id ORDER BY score DESC, id LIMIT 8"
+
+
+@query("fuzzy_rank", _fuzzy_sql(_QUERY))
 def _fuzzy(spark, sf_dir):
-    return ranking.fuzzy_rank(commands(spark, sf_dir), "sm ri")
+    return ranking.fuzzy_rank(commands(spark, sf_dir), _QUERY)
 
 
 @query("fuzzy_rank_all", "SELECT p_partkey AS id, p_partkey AS ord, p_name AS label, 1.0::DOUBLE AS score FROM part")

@@ -115,7 +115,12 @@ def _exam(spark, sf_dir):
     return study.exam(_answers(spark, sf_dir).select(tx.grade(F.col("expected"), F.col("given"), F.col("keywords")).alias("grade")))
 
 
-@query("text_clean")
+_ONE = {a: b for a, b in tx.TYPED.items() if len(b) == 1}
+_TYPED = f"translate(replace(replace(nfc_normalize(coalesce(text, '')), '…', '...'), chr(65279), ''), '{''.join(_ONE)}', '{''.join(_ONE.values()).replace(chr(39), chr(39) * 2)}')"
+_PARTS = rf"string_split(regexp_replace(regexp_replace(regexp_replace({_TYPED}, '\r\n?', chr(10), 'g'), '\n{{2,}}', chr(1), 'g'), '\n([ \t]*(?:[-*]|[0-9]+[.)])[ \t])', chr(1) || '\1', 'g'), chr(1))"
+
+
+@query("text_clean", rf"SELECT doc_id, trim(array_to_string(list_transform({_PARTS}, lambda p: trim(regexp_replace(replace(p, '-' || chr(10), ''), '[ \t\n]+', ' ', 'g'), ' ')), chr(10) || chr(10)), ' ' || chr(10)) AS cleaned FROM documents")
 def _clean(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
 

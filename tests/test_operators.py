@@ -88,8 +88,8 @@ def test_study_material(spark):
 
 
 def test_clean_up(spark):
-    raw = ["“a” — b…", "a b﻿", "uno\ndos", "a\n\n\n\nb", "ad-\nministra", "x\n- y\n2. z", "a\r\nb", "  a  \t b ", None, "mañana"]
-    assert values(spark, tx.clean(V), raw) == ['"a" - b...', "a b", "uno dos", "a\n\nb", "administra", "x\n\n- y\n\n2. z", "a b", "a b", "", "mañana"]
+    raw = ["“a” — b…", "a b﻿", "uno\ndos", "a\n\n\n\nb", "ad-\nministra", "x\n- y\n2. z", "a\r\nb", "  a  \t b ", None, "mañana", "a\n \n\n- b", "a\n-\nb", "a\n  \n* b"]
+    assert values(spark, tx.clean(V), raw) == ['"a" - b...', "a b", "uno dos", "a\n\nb", "administra", "x\n\n- y\n\n2. z", "a b", "a b", "", "mañana", "a\n\n- b", "a\n\nb", "a\n\n\n\n* b"]
 
 
 def test_wrappers(spark):
@@ -334,8 +334,8 @@ def test_wrap_equals_a_plain_loop(spark):
     assert values(spark, layout.bounded_walk(V, 0.5, 1.0), [[0.5, 2.0, -4.0]], "array<double>") == [[0.5, 1.0, -1.0]]
 
 
-def test_fuzzy_ranks():
-    s = ranking.fuzzy_score
+def test_fuzzy_ranks(spark):
+    s = lambda q, t: values(spark, ranking.fuzzy_score(q, V), [t])[0]
     assert s("", "x") == 1.0 and s("ab", "ba") == 0.0
     assert s("ban", "banco") > s("ban", "abrir banco") > s("ban", "urbano")
     assert s("abc", "abc x") > s("abc", "a b c")
