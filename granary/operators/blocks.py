@@ -51,13 +51,17 @@ def markup_blocks(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", kind.alias("kind"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).otherwise(0).alias("level"), F.trim(text).alias("text"))
 
 
+def answer_of(ahead: Column) -> Column:
+    """The text of the first paragraph or list item of the blocks ahead, if no heading comes before it and it is not empty."""
+    first = F.get(F.filter(ahead, lambda b: b["kind"].isin("heading", "paragraph", "list_item")), F.lit(0))
+    return F.when((first["kind"] != "heading") & (first["text"] != ""), first["text"])
+
+
 def heading_answers(blocks: DataFrame) -> DataFrame:
-    """(doc_id, pos, heading, answer): the first paragraph within four blocks of a heading and before the next one; long headings are left out."""
+    """(doc_id, pos, heading, answer): the first paragraph or list item within four blocks of a heading and before the next one; long headings are left out."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, AHEAD)
-    ahead = F.collect_list(F.struct("kind", "text")).over(w)
-    rows = blocks.withColumn("ahead", ahead).where((F.col("kind") == "heading") & (F.length("text") <= HEADING) & (F.col("text") != ""))
-    stop = F.aggregate("ahead", F.struct(F.lit(False).alias("done"), F.lit(None).cast("string").alias("a")), lambda s, b: F.when(s["done"] | s["a"].isNotNull(), s).when(b["kind"] == "heading", F.struct(F.lit(True).alias("done"), s["a"].alias("a"))).when((b["kind"] == "paragraph") & (b["text"] != ""), F.struct(F.lit(True).alias("done"), b["text"].alias("a"))).otherwise(s))
-    return rows.select("doc_id", "pos", F.col("text").alias("heading"), stop["a"].alias("answer")).where("answer IS NOT NULL")
+    rows = blocks.withColumn("ahead", F.collect_list(F.struct("kind", "text")).over(w)).where((F.col("kind") == "heading") & (F.length("text") <= HEADING) & (F.col("text") != ""))
+    return rows.select("doc_id", "pos", F.col("text").alias("heading"), answer_of(F.col("ahead")).alias("answer")).where("answer IS NOT NULL")
 
 
 def document_text(pages: DataFrame) -> DataFrame:

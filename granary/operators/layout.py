@@ -46,6 +46,19 @@ def margins(rows: DataFrame, key: str, ord_: str, left: str, right: str, least:
     return out.select(key, *[F.when(few, 0.0).otherwise(F.col(a)).alias(b) for a, b in (("a", "margin_autocorr"), ("i", "first_indent"), ("c", "right_cv"))])
 
 
+def paragraph_starts(rows: DataFrame, key: str, ord_: str, base: str, factor: float = 1.6) -> DataFrame:
+    """(key, ord, starts): a line starts a paragraph if it is the first of its key, or if the step from the line above is
+    more than ``factor`` times the median of the lower half of the key's steps. Keys of under three lines, or with a
+    median of zero or less, have one start."""
+    w = Window.partitionBy(key).orderBy(ord_)
+    lines = rows.select(key, ord_, (F.col(base) - F.lag(base).over(w)).alias("step"), F.row_number().over(w).alias("line"))
+    steps = lines.where("line > 1")
+    ranked = steps.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("step"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    middle = ranked.where(F.col("r") <= F.greatest(F.floor(F.col("n") / 2), F.lit(1))).groupBy(key).agg(F.median("step").alias("base_step"), F.max("n").alias("n"))
+    wide = (F.col("n") >= 2) & (F.col("base_step") > 0) & (F.col("step") > factor * F.col("base_step"))
+    return lines.join(middle, key, "left").select(key, ord_, ((F.col("line") == 1) | F.coalesce(wide, F.lit(False))).alias("starts"))
+
+
 def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, population deviation and their ratio (0 for a mean of 0)."""
     return rows.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sigma")).withColumn("cv", F.when(F.col("mean") != 0, F.col("sigma") / F.col("mean")).otherwise(0.0))

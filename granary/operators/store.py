@@ -153,10 +153,12 @@ def purge(rows: DataFrame, key: str = "char", passes: int = PASSES, least: int =
     return guarded.select("id", key, "reason", (F.col("reason").isNull() | back).alias("alive"))
 
 
-def fuses(purged: DataFrame) -> DataFrame:
-    """Whether a purge kills too much: its share of all rows, and whether that is beyond the fuse."""
-    share = 1 - F.avg(F.col("alive").cast("int"))
-    return purged.agg(F.round(share, 6).alias("kill_rate"), (share > FUSE_KILLS).alias("blown"))
+def fuses(purged: DataFrame, key: str = "char", least: int = SURVIVORS) -> DataFrame:
+    """Whether a purge kills too much: its share of all rows, the share of keys left with under ``least`` rows before
+    any came back, and whether one of the two is beyond its fuse."""
+    by = purged.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("alive")).alias("killed"), F.count_if(F.col("reason").isNull()).alias("kept"))
+    kills, recapture = F.sum("killed") / F.sum("n"), F.avg((F.col("kept") < least).cast("int"))
+    return by.agg(F.round(kills, 6).alias("kill_rate"), F.round(recapture, 6).alias("recapture_rate"), ((kills > FUSE_KILLS) | (recapture > FUSE_RECAPTURE)).alias("blown"))
 
 
 def recent(rows: DataFrame, most: int, key: str, by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
+from granary.operators import blocks
 
 SUMMARY, FALLBACK = 5, 500
 TERMS, TERM_LENGTH = 15, 5
@@ -177,6 +178,36 @@ def bundles(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "key", "summary", "p.*")
 
 
+def block_bundles(rows: DataFrame) -> DataFrame:
+    """A study bundle per document of blocks (doc_id, pos, kind, text): cards from headings and what answers them, filled up
+    from the text if these are under four; headings first among the terms; cloze items from paragraphs and list items, or
+    from the whole text if there are none. A document's blocks are put together once."""
+    by = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", F.coalesce("text", F.lit("")).alias("text")))).alias("b"))
+    b = F.col("b")
+    is_heading = lambda x: (x["kind"] == "heading") & (x["text"] != "")
+    by = by.select("doc_id", "b", F.array_join(F.transform(b, lambda x: x["text"]), "\n").alias("text"))
+    answered = F.transform(b, lambda x, i: F.when(is_heading(x) & (F.length(x["text"]) <= blocks.HEADING), F.struct(x["text"].alias("topic"), F.substring(blocks.answer_of(F.slice(b, i + 2, F.lit(blocks.AHEAD))), 1, CARD_ANSWER).alias("answer"))))
+    # The question.
+    headed = F.transform(F.filter(answered, lambda c: c["answer"].isNotNull()), lambda c: F.struct(c["topic"].alias("topic"), F.concat(F.lit("¿Qué es "), c["topic"], F.lit("?")).alias("question"), c["answer"].alias("answer")))
+    prose = F.array_join(F.transform(F.filter(b, lambda x: x["kind"].isin("paragraph", "list_item")), lambda x: x["text"]), "\n\n")
+    text, prose = F.col("text"), F.when(prose != "", prose).otherwise(F.col("text"))
+
+    def parts(freq: Column) -> Column:
+        cards = F.slice(_let(headed, lambda h: F.when(F.size(h) < CARDS_WANTED, F.concat(h, _cards(text, freq))).otherwise(h)), 1, CARDS)
+        named = F.concat(F.transform(F.filter(b, is_heading), lambda x: x["text"]), F.transform(_top(freq, TERMS, TERM_LENGTH), lambda t: t["word"]))
+        return F.struct(_first_terms(named).alias("terms"), cards.alias("cards"))
+
+    out = by.select("doc_id", _summary(text).alias("summary"), _let(_frequencies(text), parts).alias("p"), _let(_frequencies(prose), lambda freq: _quiz(prose, freq)).alias("quiz"))
+    return out.select("doc_id", "summary", "p.*", F.transform("quiz", lambda q: F.struct(q["ord"].alias("ord"), q["question"].alias("question"))).alias("quiz"))
+
+
+def _first_terms(terms: Column, most: int = TERMS) -> Column:
+    """The first terms that differ in lower case."""
+    zero = F.array().cast("array<string>")
+    take = lambda out, t: F.when((F.size(out) < most) & ~F.exists(out, lambda o: F.lower(o) == F.lower(t)), F.array_append(out, t)).otherwise(out)
+    return F.aggregate(terms, zero, take)
+
+
 def exam(answers: DataFrame, passing: int = 40) -> DataFrame:
     """Share of graded answers (``grade``) that pass, in per cent, and how many there are."""
     return answers.agg(F.count(F.lit(1)).alias("n_answers"), F.round(100 * F.avg((F.col("grade") >= passing).cast("int")), 2).alias("exam_score"))

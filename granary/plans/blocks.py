@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import blocks
+from granary.operators import blocks, study
 from granary.registry import query, table
 
 _W = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> ''))"
@@ -59,12 +59,17 @@ def _headings(spark, sf_dir):
 
 @query("heading_answer", f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM {_BLOCKS}),
  n AS (SELECT h.doc_id, h.pos, h.text AS heading, p.text AS answer, p.k, row_number() OVER (PARTITION BY h.doc_id, h.pos ORDER BY p.k) AS r, (SELECT min(x.k) FROM b x WHERE x.doc_id = h.doc_id AND x.kind = 'heading' AND x.k > h.k) AS stop
- FROM b h JOIN b p ON p.doc_id = h.doc_id AND p.k > h.k AND p.k <= h.k + 4 AND p.kind = 'paragraph' AND p.text <> '' WHERE h.kind = 'heading' AND length(h.text) <= 120 AND h.text <> '')
- SELECT doc_id, pos, heading, answer FROM n WHERE r = 1 AND (stop IS NULL OR k < stop)""")
+ FROM b h JOIN b p ON p.doc_id = h.doc_id AND p.k > h.k AND p.k <= h.k + 4 AND p.kind IN ('paragraph', 'list_item') WHERE h.kind = 'heading' AND length(h.text) <= 120 AND h.text <> '')
+ SELECT doc_id, pos, heading, answer FROM n WHERE r = 1 AND answer <> '' AND (stop IS NULL OR k < stop)""")
 def _answer(spark, sf_dir):
     return blocks.heading_answers(blocks.markup_blocks(table(spark, sf_dir, "pages")))
 
 
+@query("block_bundles")
+def _bundles(spark, sf_dir):
+    return study.block_bundles(blocks.markup_blocks(table(spark, sf_dir, "pages")))
+
+
 @query("block_markdown", f"SELECT doc_id, pos, CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list_item' THEN '- ' || text ELSE text END AS md FROM {_BLOCKS}")
 def _markdown(spark, sf_dir):
     return blocks.markup_blocks(table(spark, sf_dir, "pages")).select("doc_id", "pos", blocks.to_markdown(F.col("kind"), F.col("level"), F.col("text")).alias("md"))

@@ -48,6 +48,14 @@ def _margins(spark, sf_dir):
     return out.select("user_id", *[F.round(c, 5).alias(c) for c in ("margin_autocorr", "first_indent", "right_cv")])
 
 
+@query("paragraph_starts", """WITH l AS (SELECT user_id, event_id, step, line FROM (SELECT user_id, event_id, event_id - lag(event_id) OVER w AS step, row_number() OVER w AS line FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))),
+ r AS (SELECT user_id, step, row_number() OVER (PARTITION BY user_id ORDER BY step) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM l WHERE line > 1),
+ m AS (SELECT user_id, median(step) AS base, max(n) AS n FROM r WHERE r <= greatest(n // 2, 1) GROUP BY 1)
+ SELECT user_id, event_id, line = 1 OR coalesce(n >= 2 AND base > 0 AND step > 1.6::DOUBLE * base, false) AS starts FROM l LEFT JOIN m USING (user_id)""")
+def _starts(spark, sf_dir):
+    return layout.paragraph_starts(table(spark, sf_dir, "events"), "user_id", "event_id", "event_id")
+
+
 @query("value_spread", "SELECT user_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sigma, round(CASE WHEN avg(value) <> 0 THEN stddev_pop(value) / avg(value) ELSE 0 END, 6) AS cv FROM events GROUP BY 1")
 def _spread(spark, sf_dir):
     return layout.spread(table(spark, sf_dir, "events"), "user_id", "value").select("user_id", *[F.round(c, 6).alias(c) for c in ("mean", "sigma", "cv")])

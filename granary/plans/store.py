@@ -52,6 +52,16 @@ def _medoid(spark, sf_dir):
     return fp.medoids(prints(spark, sf_dir))
 
 
+_TIERED = f"(SELECT *, CASE WHEN id % 7 = 0 THEN 2 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS r FROM {_FP})"
+_BEST = f"(SELECT * FROM {_TIERED} QUALIFY r = max(r) OVER (PARTITION BY key))"
+
+
+@query("fp_best_medoid", f"SELECT key, id AS medoid, total, bits FROM (SELECT a.id, a.key, a.bits, sum(hamming(a.bits, b.bits))::BIGINT AS total FROM {_BEST} a JOIN {_BEST} b ON a.key = b.key GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY key ORDER BY total, id) = 1")
+def _best_medoid(spark, sf_dir):
+    tier = F.when(F.col("id") % 7 == 0, "Gold").when(F.col("id") % 3 == 0, "Silver").otherwise("Bronze")
+    return fp.best_medoids(prints(spark, sf_dir).withColumn("tier", tier))
+
+
 _OUT = f"""(SELECT id, key, dist, n >= 4 AND dist > med + 3 * CASE WHEN mad = 0 THEN 1 ELSE mad END AND dist > med AS outlier FROM (SELECT *, median(abs(dist - med)) OVER (PARTITION BY key) AS mad FROM
  (SELECT f.id, f.key, hamming(f.bits, m.bits)::INTEGER AS dist, median(hamming(f.bits, m.bits)) OVER (PARTITION BY f.key) AS med, count(*) OVER (PARTITION BY f.key) AS n FROM {_FP} f JOIN {_MEDOID} m USING (key))))"""
 

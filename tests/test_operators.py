@@ -87,6 +87,36 @@ def test_study_material(spark):
     assert few[0].question == "¿Qué se dice sobre 'palabra'?" and few[0].answer.startswith("palabra sola")
 
 
+def test_block_bundles(spark):
+    rows = [(1, 0, "heading", "Fotosíntesis"), (1, 1, "list_item", "Proceso por el que las plantas producen savia, y la savia queda en las plantas verdes."), (1, 2, "heading", "Vacío"), (1, 3, "heading", "Raíz"), (1, 4, "paragraph", ""),
+            (2, 0, "paragraph", ""), (3, 0, "heading", "PLANTAS"), (3, 1, "heading", "plantas")]
+    got = {r.doc_id: r for r in study.block_bundles(spark.createDataFrame(rows, "doc_id long, pos int, kind string, text string")).collect()}
+    assert got[1].cards[0].question == "¿Qué es Fotosíntesis?" and got[1].cards[0].answer.startswith("Proceso por")
+    assert got[1].terms[:3] == ["Fotosíntesis", "Vacío", "Raíz"] and "Raíz" not in [c.topic for c in got[1].cards]
+    assert got[1].quiz[0].question.count("___") == 2 and got[1].summary.startswith("Fotosíntesis")
+    assert (got[2].summary, got[2].terms, got[2].cards, got[2].quiz) == ("", [], [], []) and got[3].terms == ["PLANTAS"]
+    heads = blocks.heading_answers(spark.createDataFrame(rows, "doc_id long, pos int, kind string, text string")).collect()
+    assert [(r.doc_id, r.heading) for r in heads] == [(1, "Fotosíntesis")]
+
+
+def test_fuses(spark):
+    rows = [("a", None, True)] * 3 + [("b", "LOW_RANK", False), ("b", None, True), ("c", "GHOST", True)]
+    got = store.fuses(spark.createDataFrame(rows, "char string, reason string, alive boolean")).first()
+    assert (got.kill_rate, got.recapture_rate, got.blown) == (round(1 / 6, 6), round(2 / 3, 6), True)
+    fine = store.fuses(spark.createDataFrame(rows[:3], "char string, reason string, alive boolean")).first()
+    assert (fine.kill_rate, fine.recapture_rate, fine.blown) == (0, 0, False)
+
+
+def test_paragraph_starts_and_best_medoid(spark):
+    tops = {"a": [0, 10, 20, 45, 55], "b": [0, 10, 40], "c": [0, 30], "d": [5], "e": [3, 3, 3, 9]}
+    rows = spark.createDataFrame([(k, i, float(y)) for k, ys in tops.items() for i, y in enumerate(ys)], "k string, i int, y double")
+    got = {(r.k, r.i) for r in layout.paragraph_starts(rows, "k", "i", "y").where("starts").collect()}
+    assert got == {("a", 0), ("a", 3), ("b", 0), ("b", 2), ("c", 0), ("d", 0), ("e", 0)}
+    marks = [(1, "x", "0011", "Gold"), (2, "x", "1100", "Silver"), (3, "x", "1100", "Silver"), (4, "y", "0011", "Silver"), (5, "y", "0001", "Silver"), (6, "y", "0111", "Silver"), (7, "z", "01", "Bronze"), (8, "z", "01", None)]
+    best = fingerprints.best_medoids(spark.createDataFrame(marks, "id long, key string, bits string, tier string")).collect()
+    assert {(r.key, r.medoid) for r in best} == {("x", 1), ("y", 4), ("z", 7)}
+
+
 def test_clean_up(spark):
     raw = ["“a” — b…", "a b﻿", "uno\ndos", "a\n\n\n\nb", "ad-\nministra", "x\n- y\n2. z", "a\r\nb", "  a  \t b ", None, "mañana", "a\n \n\n- b", "a\n-\nb", "a\n  \n* b"]
     assert values(spark, tx.clean(V), raw) == ['"a" - b...', "a b", "uno dos", "a\n\nb", "administra", "x\n\n- y\n\n2. z", "a b", "a b", "", "mañana", "a\n\n- b", "a\n\nb", "a\n\n\n\n* b"]
@@ -126,9 +156,9 @@ def test_blocks(spark):
     rows = [(1, p, "x" * n) for p, n in enumerate([50] * 4 + [49])] + [(2, p, "y " * n) for p, n in enumerate([50, 1, 1, 1, 1])] + [(3, 0, None)]
     pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
     assert {r.doc_id: r.kind for r in blocks.page_class(pages).collect()} == {1: "text", 2: "mixed", 3: "scan"}
-    b = [("heading", "H"), ("paragraph", "p"), ("heading", "I"), ("heading", "J"), ("list_item", "l"), ("paragraph", "q"), ("heading", "x" * 121), ("paragraph", "r"), ("heading", "K"), *[("list_item", "l")] * 4, ("paragraph", "far")]
+    b = [("heading", "H"), ("paragraph", "p"), ("heading", "I"), ("heading", "J"), ("list_item", "l"), ("paragraph", "q"), ("heading", "x" * 121), ("paragraph", "r"), ("heading", "K"), *[("table", "t")] * 4, ("paragraph", "far")]
     got = blocks.heading_answers(spark.createDataFrame([(1, i, k, t) for i, (k, t) in enumerate(b)], "doc_id long, pos int, kind string, text string")).collect()
-    assert sorted((r.heading, r.answer) for r in got) == [("H", "p"), ("J", "q")]
+    assert sorted((r.heading, r.answer) for r in got) == [("H", "p"), ("J", "l")]
 
 
 def test_markup_blocks_keep_inline_text(spark):
@@ -281,7 +311,7 @@ def test_purge_keeps_survivors_and_ends(spark):
     got = store.purge(shapes(spark, rows)).collect()
     alive = [r.id for r in got if r.alive]
     assert len([i for i in alive if i < 100]) == 30 and [i for i in alive if i >= 100] == [100, 101]
-    assert store.fuses(spark.createDataFrame([(True,), (False,)], "alive boolean")).first().blown is False
+    assert store.fuses(spark.createDataFrame([("a", None, True)] * 3 + [("a", "LOW_RANK", False)], "char string, reason string, alive boolean")).first().blown is False
 
 
 def test_tiers(spark):
