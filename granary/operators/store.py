@@ -131,20 +131,40 @@ def census(rows: DataFrame, key: str = "char") -> DataFrame:
 def purge(rows: DataFrame, key: str = "char", passes: int = PASSES, least: int = SURVIVORS) -> DataFrame:
     """(id, alive, reason): hard filters, score floor and capped rank, again and again until a pass kills
     none, since each pass changes the medians; then keys with under ``least`` survivors get their best
-    softly refused rows back. Written to the checkpoint folder after each pass."""
+    softly refused rows back.
+
+    All rows take part in the first pass alone, as windows of their key that need one shuffle; it leaves TOP rows of a key
+    at most. Only these, and then those that later passes kill, are written to the checkpoint folder."""
     from granary.session import use_checkpoints
 
     use_checkpoints(rows.sparkSession)
-    state = rows.withColumn("reason", F.lit(None).cast("string")).checkpoint()
-    for _ in range(passes):
-        alive = state.where("reason IS NULL")
-        stats = char_stats(alive, key)
-        order = Window.partitionBy(key).orderBy(F.desc("score"), "id")
-        judged = alive.drop("reason").join(stats, key).withColumn("rank", F.row_number().over(order))
-        judged = judged.select("id", F.coalesce(hard_reason(), F.when(F.col("score") < FLOOR, "LOW_SCORE").when(F.col("rank") > TOP, "LOW_RANK")).alias("why")).where("why IS NOT NULL").checkpoint()
-        if not judged.take(1):
-            break
-        state = state.join(judged, "id", "left").withColumn("reason", F.coalesce("reason", "why")).drop("why").checkpoint()
+
+    def judge(alive: DataFrame) -> DataFrame:
+        """The rows with ``_why``, the reason of one pass."""
+        of = Window.partitionBy(key)
+        stats = {"population": F.count(F.lit(1)), "mode_parts": -F.max(F.struct("_n", (-F.col("parts")).alias("p"))).over(of)["p"]} | {f"med_{c}": F.median(c) for c in ("area", "ink", "aspect")}
+        stats = {name: c if name == "mode_parts" else c.over(of) for name, c in stats.items()}
+        judged = alive.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "parts"))).withColumns(stats)
+        judged = judged.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "id")))
+        why = F.coalesce(hard_reason(), F.when(F.col("score") < FLOOR, "LOW_SCORE").when(F.col("rank") > TOP, "LOW_RANK"))
+        return judged.withColumn("_why", F.when(F.col(key).isNotNull(), why)).drop("_n", "rank", *stats)  # without a key nothing is judged
+
+    first = judge(rows)
+    if passes < 1:
+        first = first.withColumn("_why", F.lit(None).cast("string"))
+    later = None
+    if passes > 1:
+        alive = first.where(F.col("_why").isNull() & F.col(key).isNotNull()).drop("_why").checkpoint()
+        for _ in range(passes - 1):
+            state = judge(alive).checkpoint()
+            killed = state.where("_why IS NOT NULL").select(key, "id", F.col("_why").alias("_later"))
+            if not killed.take(1):
+                break
+            later = killed if later is None else later.unionByName(killed)
+            alive = state.where("_why IS NULL").drop("_why")
+    state = first.select("id", key, "score", F.col("_why").alias("reason"))
+    if later is not None:
+        state = state.join(later, [key, "id"], "left").withColumn("reason", F.coalesce("reason", "_later")).drop("_later")
     soft = F.col("reason").isin("LOW_SCORE", "LOW_RANK", "DUPLICATE")
     n_alive = F.sum(F.col("reason").isNull().cast("int")).over(Window.partitionBy(key))
     place = F.row_number().over(Window.partitionBy(key, F.col("reason").isNull()).orderBy(soft.desc(), F.desc("score"), "id"))
