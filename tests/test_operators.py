@@ -221,6 +221,25 @@ def test_matches_equal_all_pairs_sorted(spark, monkeypatch):
     assert "Join" not in plan and "Generate" not in plan  # pairs are not rows of the cluster
 
 
+def test_fused_boxes_equal_all_groups_compared(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2]), rng.choice("ab"), k, rng.randrange(-60, 150), rng.randrange(90), rng.choice([8, 20, 45]), rng.choice([9, 25])) for k in range(500)]
+    want = []
+    for image in (1, 2):
+        groups = []
+        for _, d, _, x, y, w, h in sorted(r for r in rows if r[0] == image):
+            for g in groups:
+                both = max(min(x + w, g[2]) - max(x, g[0]), 0) * max(min(y + h, g[3]) - max(y, g[1]), 0)
+                if both / (w * h + (g[2] - g[0]) * (g[3] - g[1]) - both) >= 0.3:
+                    g[:] = [min(g[0], x), min(g[1], y), max(g[2], x + w), max(g[3], y + h), g[4] | {d}]
+                    break
+            else:
+                groups.append([x, y, x + w, y + h, {d}])
+        want += [(image, g[0], g[1], g[2] - g[0], g[3] - g[1], ",".join(sorted(g[4])), len(g[4]) / 2) for g in groups]
+    found = fusion.fuse_greedy(spark.createDataFrame(rows, "image_id long, detector string, ord long, x long, y long, w long, h long"), 0.3)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_evaluation_query_shuffles_ids_once(spark):
     plan = QUERIES["eval_metrics"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "first(" not in plan  # neither pairs nor the boxes of copies
@@ -344,6 +363,12 @@ def test_purge_keeps_survivors_and_ends(spark):
     assert store.fuses(spark.createDataFrame([("a", None, True)] * 3 + [("a", "LOW_RANK", False)], "char string, reason string, alive boolean")).first().blown is False
 
 
+@pytest.mark.parametrize("name", ["purge_fixpoint", "purge_fuses"])
+def test_purge_queries_shuffle_items_once(spark, name):
+    plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
+
+
 def test_tiers(spark):
     assert values(spark, grades.tier(V), [0.75, 0.74, 0.48, 0.1], "double") == ["Gold", "Silver", "Silver", "Bronze"]
     assert values(spark, grades.threshold(V), ["?", "i", "m", "a"]) == [3, 5, 9, 7]
