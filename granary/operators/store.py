@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ ASPECT_FACTOR, AREA_LOW, AREA_HIGH, ASPECT_LOW, ASPECT_HIGH, BIG_SIDE = 2.2, 0.2
 WEIGHTS = {"alignment": 0.30, "binarisation": 0.20, "stroke": 0.20, "size": 0.15, "similarity": 0.15}
 FLOOR, TOP, POPULATION, SURVIVORS, PASSES = 50.0, 30, 5, 3, 20
 FUSE_KILLS, FUSE_RECAPTURE = 0.85, 0.40
+MEASURES = ("w", "h", "area", "ink", "aspect", "edge", "parts")  # that hard filters look at
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -99,16 +102,15 @@ def char_stats(rows: DataFrame, key: str = "char") -> DataFrame:
     return stats.join(parts.select(key, (-F.col("m.p")).alias("mode_parts")), key)
 
 
-def hard_reason() -> Column:
-    """The first reason against a row with its key's statistics beside it; null for none."""
-    c = F.col
+def hard_reason(c: Callable[[str], Column] = F.col) -> Column:
+    """The first reason against a row with its key's statistics beside it; null for none. ``c`` gives both by name."""
     many = c("population") >= POPULATION
     ghost = F.when(many, (c("ink") < GHOST * c("med_ink")) & (c("ink") < GHOST_ABS)).otherwise(c("ink") < GHOST_ABS)
-    blob = F.when(many, (c("ink") > BLOB * c("med_ink")) & (c("ink") > BLOB_ABS)).otherwise((c("ink") > BLOB_ABS) & c("aspect").between(ASPECT_LOW, ASPECT_HIGH) & (F.greatest("w", "h") >= BIG_SIDE))
+    blob = F.when(many, (c("ink") > BLOB * c("med_ink")) & (c("ink") > BLOB_ABS)).otherwise((c("ink") > BLOB_ABS) & c("aspect").between(ASPECT_LOW, ASPECT_HIGH) & (F.greatest(c("w"), c("h")) >= BIG_SIDE))
     broken = F.when(c("mode_parts") == 1, c("parts") >= 3).otherwise(c("parts") > c("mode_parts") + 2)
     shape = many & ((F.greatest(c("aspect") / c("med_aspect"), c("med_aspect") / c("aspect")) > ASPECT_FACTOR) | (c("area") < AREA_LOW * c("med_area")) | (c("area") > AREA_HIGH * c("med_area")))
     return (
-        F.when((F.least("w", "h") < BOX) | (many & (c("area") < AREA_SMALL * c("med_area"))), "SPECK").when(ghost, "GHOST").when(blob, "BLOB")
+        F.when((F.least(c("w"), c("h")) < BOX) | (many & (c("area") < AREA_SMALL * c("med_area"))), "SPECK").when(ghost, "GHOST").when(blob, "BLOB")
         .when(c("edge") > CLIP, "CLIPPED").when(broken, "FRAGMENTED").when(shape, "OUTLIER_SHAPE")
     )
 
@@ -128,6 +130,17 @@ def census(rows: DataFrame, key: str = "char") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *each).withColumn("deficit", F.col("n") < 10)
 
 
+def _judged(alive: DataFrame, key: str) -> DataFrame:
+    """The rows with ``_why``, the reason of one pass, the ``population`` of their key and their ``rank`` in it."""
+    of = Window.partitionBy(key)
+    stats = {"population": F.count(F.lit(1)), "mode_parts": -F.max(F.struct("_n", (-F.col("parts")).alias("p"))).over(of)["p"]} | {f"med_{c}": F.median(c) for c in ("area", "ink", "aspect")}
+    stats = {name: c if name == "mode_parts" else c.over(of) for name, c in stats.items()}
+    judged = alive.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "parts"))).withColumns(stats)
+    judged = judged.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "id")))
+    why = F.coalesce(hard_reason(), F.when(F.col("score") < FLOOR, "LOW_SCORE").when(F.col("rank") > TOP, "LOW_RANK"))
+    return judged.withColumn("_why", F.when(F.col(key).isNotNull(), why)).drop("_n", *[x for x in stats if x != "population"])  # without a key nothing is judged
+
+
 def purge(rows: DataFrame, key: str = "char", passes: int = PASSES, least: int = SURVIVORS) -> DataFrame:
     """(id, alive, reason): hard filters, score floor and capped rank, again and again until a pass kills
     none, since each pass changes the medians; then keys with under ``least`` survivors get their best
@@ -140,14 +153,7 @@ def purge(rows: DataFrame, key: str = "char", passes: int = PASSES, least: int =
     use_checkpoints(rows.sparkSession)
 
     def judge(alive: DataFrame) -> DataFrame:
-        """The rows with ``_why``, the reason of one pass."""
-        of = Window.partitionBy(key)
-        stats = {"population": F.count(F.lit(1)), "mode_parts": -F.max(F.struct("_n", (-F.col("parts")).alias("p"))).over(of)["p"]} | {f"med_{c}": F.median(c) for c in ("area", "ink", "aspect")}
-        stats = {name: c if name == "mode_parts" else c.over(of) for name, c in stats.items()}
-        judged = alive.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "parts"))).withColumns(stats)
-        judged = judged.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "id")))
-        why = F.coalesce(hard_reason(), F.when(F.col("score") < FLOOR, "LOW_SCORE").when(F.col("rank") > TOP, "LOW_RANK"))
-        return judged.withColumn("_why", F.when(F.col(key).isNotNull(), why)).drop("_n", "rank", *stats)  # without a key nothing is judged
+        return _judged(alive, key).drop("population", "rank")
 
     first = judge(rows)
     if passes < 1:
@@ -173,10 +179,59 @@ def purge(rows: DataFrame, key: str = "char", passes: int = PASSES, least: int =
     return guarded.select("id", key, "reason", (F.col("reason").isNull() | back).alias("alive"))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hard_survivors(held: Column, passes: int) -> Column:
+    """How many of the rows (an array of their measures) hard filters leave after so many passes, or once a pass kills none."""
+
+    def median(rows: Column, name: str) -> Column:
+        values = F.array_sort(F.filter(F.transform(rows, lambda x: x[name].cast("double")), lambda v: v.isNotNull()))
+        middle = lambda v: F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) * 0.5 + F.get(v, F.floor(F.size(v) / 2).cast("int")) * 0.5
+        return _with(values, lambda v: F.when(F.size(v) > 0, middle(v)))
+
+    def mode(parts: Column) -> Column:
+        counted = F.transform(F.array_distinct(parts), lambda p: F.struct(F.size(F.filter(parts, lambda q: q.eqNullSafe(p))).alias("n"), (-p).alias("p")))
+        return -F.array_max(counted)["p"]
+
+    def one_pass(rows: Column) -> Column:
+        stats = F.struct(F.size(rows).alias("population"), mode(F.transform(rows, lambda x: x["parts"])).alias("mode_parts"), *[median(rows, c).alias(f"med_{c}") for c in ("area", "ink", "aspect")])
+        of = lambda s, x: lambda name: x[name] if name in MEASURES else s[name]
+        return _with(stats, lambda s: F.filter(rows, lambda x: hard_reason(of(s, x)).isNull()))
+
+    def step(state: Column, _: Column) -> Column:
+        after = _with(one_pass(state["rows"]), lambda rows: F.struct(rows.alias("rows"), (F.size(rows) == F.size(state["rows"])).alias("over")))
+        return F.when(state["over"], state).otherwise(after)
+
+    start = F.struct(held.alias("rows"), (F.size(held) == 0).alias("over"))
+    return F.size(F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)["rows"])
+
+
+def purge_counts(rows: DataFrame, key: str = "char", passes: int = PASSES, least: int = SURVIVORS) -> DataFrame:
+    """(key, n, killed, kept): the rows of each key, those that ``purge`` kills, and those that no pass refuses.
+
+    The first pass leaves TOP rows of a key at most, all from FLOOR on, so that later ones kill by hard filters alone: these
+    passes run over an array in the row of the key. All rows are shuffled once, and nothing is written.
+    """
+    judged = _judged(rows, key)
+    alive = F.col("_why").isNull() & F.col(key).isNotNull()
+    held = judged.where(alive | (F.col("rank") == 1)).groupBy(key).agg(F.max("population").alias("n"), F.collect_list(F.when(alive, F.struct(*MEASURES))).alias("_held"))
+    kept = F.size("_held") if passes < 2 else _hard_survivors(F.col("_held"), passes - 1)
+    counted = held.select(key, "n", (F.col("n") if passes < 1 else F.when(F.col(key).isNull(), F.col("n")).otherwise(kept)).cast("long").alias("kept"))
+    back = F.least(F.greatest(F.lit(least) - F.col("kept"), F.lit(0)), F.col("n") - F.col("kept"))
+    return counted.select(key, "n", (F.col("n") - F.col("kept") - back).alias("killed"), "kept")
+
+
 def fuses(purged: DataFrame, key: str = "char", least: int = SURVIVORS) -> DataFrame:
     """Whether a purge kills too much: its share of all rows, the share of keys left with under ``least`` rows before
     any came back, and whether one of the two is beyond its fuse."""
-    by = purged.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("alive")).alias("killed"), F.count_if(F.col("reason").isNull()).alias("kept"))
+    return blown(purged.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("alive")).alias("killed"), F.count_if(F.col("reason").isNull()).alias("kept")), least)
+
+
+def blown(by: DataFrame, least: int = SURVIVORS) -> DataFrame:
+    """``fuses`` from the counts of each key."""
     kills, recapture = F.sum("killed") / F.sum("n"), F.avg((F.col("kept") < least).cast("int"))
     return by.agg(F.round(kills, 6).alias("kill_rate"), F.round(recapture, 6).alias("recapture_rate"), ((kills > FUSE_KILLS) | (recapture > FUSE_RECAPTURE)).alias("blown"))
 

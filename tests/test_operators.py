@@ -378,6 +378,35 @@ def test_purge_keeps_survivors_and_ends(spark):
     assert store.fuses(spark.createDataFrame([("a", None, True)] * 3 + [("a", "LOW_RANK", False)], "char string, reason string, alive boolean")).first().blown is False
 
 
+@pytest.mark.parametrize(("passes", "least"), [(20, 3), (20, 25), (3, 3), (1, 3), (0, 3)])
+def test_purge_counts_equal_a_purge(spark, passes, least):
+    rng = random.Random(8)
+    some = lambda x: None if rng.random() < 0.04 else x
+    spread = {"a": 1.2, "b": 0.9, "c": 0.6, "d": 0.3, "e": 1.5, None: 1.0}
+    rows = []
+    for i in range(700):
+        char = rng.choice([*"aaabbcd", None]) if i > 6 else "e"
+        w, h = (max(1, int(24 * math.exp(rng.gauss(0, spread[char])))) for _ in "wh")
+        rows.append((i, char, some(w), h, w * h, some(0.2 * math.exp(rng.gauss(0, 0.9))), some(w / h), some(rng.random() * 0.32), some(rng.choice([1, 1, 2, 2, 3, 4])), some(float(rng.randrange(40, 100)))))
+    df = shapes(spark, rows)
+    want = store.fuses(store.purge(df, passes=passes, least=least), least=least).first()
+    got = store.purge_counts(df, passes=passes, least=least)
+    assert store.blown(got, least).first() == want
+    full = Counter((r.char, r.alive, r.reason is None) for r in store.purge(df, passes=passes, least=least).collect())
+    assert {r.char: (r.n, r.killed, r.kept) for r in got.collect()} == {
+        c: (sum(k for x, k in full.items() if x[0] == c), sum(k for x, k in full.items() if x[0] == c and not x[1]), sum(k for x, k in full.items() if x[0] == c and x[2])) for c in spread
+    }
+    if passes == 20:  # later passes do kill
+        assert sum(r.kept for r in got.collect()) < sum(r.kept for r in store.purge_counts(df, passes=1).collect())
+
+
+def test_purge_fuses_reads_items_once(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", None)  # a plan that is written before the result is read shuffles them again
+    row = QUERIES["purge_fuses"].run(spark, "/root/testdata/sf0.001").first()
+    monkeypatch.undo()
+    assert row == store.fuses(QUERIES["purge_fixpoint"].run(spark, "/root/testdata/sf0.001")).first()
+
+
 @pytest.mark.parametrize("name", ["purge_fixpoint", "purge_fuses"])
 def test_purge_queries_shuffle_items_once(spark, name):
     plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
