@@ -29,6 +29,8 @@ BITS, LIMIT, SHINGLE, SEED = 64, 3, 3, 42
 FINE = 1 << 24
 #: Values of a key that one task takes; more are dealt out to pairs of parts.
 MOST = 1 << 18
+#: Edges that one task joins; more are contracted round by round.
+JOINED = 1 << 20
 _FAN = 8
 _CHUNK, _STEP = 1 << 20, 1 << 22
 
@@ -269,12 +271,35 @@ def links(values: DataFrame, limit: int = LIMIT, fine: bool = False) -> DataFram
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _joined(edges: DataFrame) -> DataFrame:
+    """The ``components`` of so few edges that one task holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.column_stack([np.asarray(c) for c in batch.columns]) for batch in batches if batch.num_rows]
+        if held:
+            nodes, places = np.unique(np.concatenate(held), return_inverse=True)
+            a, b = places.reshape(-1, 2).T
+            root = np.arange(len(nodes))  # of each node the least one found so far
+            while (root[a] != root[b]).any():
+                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                np.minimum.at(root, high, low)
+                while (root[root] != root).any():
+                    root = root[root]
+            rest = root != np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[rest]), pa.array(nodes[root[rest]])], ["a", "b"])
+        release()
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, most_rounds: int = 60, together: int = JOINED) -> DataFrame:
     """(a, b) with b the least node of a's component, for all nodes but the least ones themselves.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder. Ends when
-    a round changes nothing.
+    Up to ``together`` edges are joined by one task. More alternate large-star and small-star steps; each round is
+    written to the shared folder, and they end when a round changes nothing.
     """
+    if edges.count() <= together:
+        return materialise(_joined(edges))
     state, before = edges, None
     for _ in range(most_rounds):
         both = state.select("a", "b").union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -53,20 +53,18 @@ def features(text: str | None) -> list[str]:
     return [*words, *sorted(starts), *marks(text)]
 
 
-def _examples(shared: tuple) -> list[Example]:
-    """The features of each row: places of its words, each once, then the probabilities of the earlier categories."""
+def _examples(shared: tuple, use: np.ndarray) -> list[Example]:
+    """The features of these rows: places of their words, each once, then the probabilities of the earlier categories."""
     flat, ends, earlier, width, _ = shared
     extra = np.arange(width - earlier.shape[1], width)
-    return [(np.concatenate([flat[a:b], extra]), np.concatenate([np.ones(b - a), p])) for a, b, p in zip(ends[:-1].tolist(), ends[1:].tolist(), earlier, strict=True)]
+    return [(np.concatenate([flat[ends[i] : ends[i + 1]], extra]), np.concatenate([np.ones(ends[i + 1] - ends[i]), earlier[i]])) for i in use.tolist()]
 
 
 def _fits(shared: tuple, uses: list[np.ndarray], rounds: int, spark: SparkSession | None) -> list[np.ndarray]:
     """The weights fitted on each of these choices of rows; with a session each fit is a task."""
 
-
     def fitted(shared: tuple, use: np.ndarray) -> np.ndarray:
-        examples = _examples(shared)
-        return Ftrl(shared[3], 2, alpha=0.4, l1=3.0, l2=0.5).fit([examples[i] for i in use], shared[4][use], rounds).weights()
+        return Ftrl(shared[3], 2, alpha=0.4, l1=3.0, l2=0.5).fit(_examples(shared, use), shared[4][use], rounds).weights()
 
     if spark is None:
         return [fitted(shared, use) for use in uses]
@@ -101,8 +99,11 @@ def fit_chain(rows: Iterable[tuple[list[str], dict[str, int | None]]], chain: tu
         place[numbers[f]] = i
     each = [x[x >= 0] for x in (place[k] for k in each)]
     flat, ends = np.concatenate([np.zeros(0, np.int32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-    fold = np.arange(len(each)) % folds
-    earlier = np.zeros((len(each), 0))
+    n = len(each)
+    del each, numbers, place, seen  # the driver's memory has to hold the rest
+    release()
+    fold = np.arange(n) % folds
+    earlier = np.zeros((n, 0))
     out = []
     for category in chain:
         width = len(vocabulary) + earlier.shape[1]
@@ -112,10 +113,10 @@ def fit_chain(rows: Iterable[tuple[list[str], dict[str, int | None]]], chain: tu
         uses = [np.flatnonzero((fold != k) & (y >= 0)) for k in range(folds)]
         use = np.flatnonzero(y >= 0)
         weights = _fits(shared, [*uses, use], rounds, spark)
-        own, examples = np.zeros(len(each)), _examples(shared)
+        own = np.zeros(n)
         for rows_of, outside, w in zip(inside, uses, weights, strict=False):
             if len(rows_of) and len(outside):
-                own[rows_of] = softmax(logits(w, [examples[i] for i in rows_of]))[:, 1]
+                own[rows_of] = softmax(logits(w, _examples(shared, rows_of)))[:, 1]
         if (y == 1).any():
             difference = weights[-1][:, 1] - weights[-1][:, 0]
         else:
@@ -151,10 +152,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *part.columns[1:]], ["words", *part.schema.names[1:]])
 
     schema = ", ".join(["words string", *[f"`{c}` int" for c in names], "h long"])
-    found = rows.select("text", *names, F.xxhash64(F.col("id").cast("string"), "text").alias("h")).mapInArrow(run, schema).toArrow().sort_by([("h", "ascending"), ("words", "ascending")])  # the sample
-    rows = ((found["words"][i].as_py().split(" "), {c: found[c][i].as_py() for c in names}) for i in range(len(found)))
-    model = fit_chain(rows, tuple(names), spark=docs.sparkSession)
-    del found, rows
+    sample_rows = rows.select("text", *names, F.xxhash64(F.col("id").cast("string"), "text").alias("h")).mapInArrow(run, schema)
+
+    def each_row() -> Iterator[tuple[list[str], dict[str, int | None]]]:  # when it ends, the sample is gone
+        found = sample_rows.toArrow().sort_by([("h", "ascending"), ("words", "ascending")])
+        for i in range(len(found)):
+            yield found["words"][i].as_py().split(" "), {c: found[c][i].as_py() for c in names}
+
+    model = fit_chain(each_row(), tuple(names), spark=docs.sparkSession)
     release()  # on the driver, whose memory holds the sample until here
     return model
 

@@ -205,6 +205,17 @@ def test_chains_join_over_many_tasks(spark):
     assert {f: got.get(f, f) for f in root} == {f: min(classes[r]) for f, r in root.items()}
 
 
+def test_few_edges_are_joined_by_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    edges = [(i, i - 1) for i in range(1, 70)] + [(int(a), int(b)) for a, b in rng.integers(-300, -1, (120, 2))] + [(-900, 900), (-900, -900)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    want = {(r.a, r.b) for r in simhash.components(df.where("a <> b"), together=0).collect()}
+    written = []
+    monkeypatch.setattr(simhash, "materialise", lambda x, f=simhash.materialise: written.append(x) or f(x))
+    assert {(r.a, r.b) for r in simhash.components(df).collect()} == want and len(written) == 1
+    assert simhash.components(df.limit(0)).count() == 0
+
+
 def test_gray_index_searches_like_a_scan():
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 2**63, 20).astype(np.uint64)
